@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.session import materialize, release, shared_folder, small_side, table
+from meshwork.session import materialize, release, shared_folder, table
 
 #: What normalisation deletes: space and the characters 9 to 13.
 WHITE = " \t\n\x0b\f\r"
@@ -62,6 +62,7 @@ class MergeIndex:
             runs.write.mode("append")
             .option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")  # sized by what a file holds
             .partitionBy("run")
             .parquet(f"{self.path}/level-{self.levels}")
         )
@@ -90,7 +91,7 @@ def _verify(docs: DataFrame, hits: DataFrame, text: str, doc_id: str) -> DataFra
     salted = hits.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = docs.select(normalised(F.col(text)).alias("norm"), F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("salt"))
     texts = texts.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    met = texts.join(small_side(salted), ["digest", "salt"], "left_semi")
+    met = texts.join(salted, ["digest", "salt"], "left_semi")
     # combined before each shuffle: at most one text for each digest, salt and task
     distinct = met.select("digest", "salt", "norm").distinct().select("digest", "norm").distinct()
     return distinct.groupBy("digest").count().where("count > 1").select("digest")
