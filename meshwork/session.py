@@ -79,3 +79,15 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are no longer referred to.
+
+    It deletes them when the driver's garbage collector finds the frames; between the large steps of a
+    job this keeps the disk at the largest step instead of their sum.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
