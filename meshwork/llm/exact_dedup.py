@@ -35,7 +35,7 @@ def normalised(text: Column) -> Column:
 
 def _beats(*, points: str = "points", key: str = "doc_id") -> Column:
     """An order in which the row that stays is the largest: most code points, then smallest id."""
-    return F.struct(F.col(points).alias("points"), (-F.col(key)).alias("minus_id"))
+    return F.struct(F.col(points).alias("points"), (-F.col(key)).alias("minus_id"))  # a null is the least
 
 
 class MergeIndex:
@@ -106,7 +106,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
 
     A null text counts as empty, and all empty texts are equal. Rows that
     repeat an id and a text are copies of each other like any others: each has
-    its row in the result, and ``kept`` is true for one of them. An empty
+    its row in the result, and ``kept`` is true for one of them. A null id comes after
+    all others. An empty
     table gives an empty result. Other columns are not read. The result
     is all or nothing on a digest collision: the digests that ``_verify``
     finds are grouped by their bytes instead.
@@ -130,7 +131,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
     rows = keyed.groupBy("digest", "doc_id", "points").agg(F.count(F.lit(1)).cast("int").alias("times"))
     out = rows.join(merged, "digest")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    stays = (F.col("doc_id") == F.col("keep_id")) & (F.col("points") == F.col("keep_points")) & (F.col("copy") == 1)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")) & (F.col("copy") == 1)
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import exact_dedup, quality_rules
+from meshwork.llm import exact_dedup, packing, quality_rules, simhash, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_simhash": simhash.op8_simhash,
+        "op10_packing": packing.op10_packing,
     }
 
 
