@@ -6,21 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import exact_dedup, packing, quality_rules, simhash, substring_dedup
+from meshwork.llm import chat_format, exact_dedup, license_scan, packing, quality_rules, simhash, source_mixing, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": chat_format.op1_chat_format,
+        "op3_license_scan": license_scan.op3_license_scan,
+        "op4_url_filter": url_filter.op4_url_filter,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
+        "op9_source_mixing": source_mixing.op9_source_mixing,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat_format": chat_format.ORACLE_OP1,
+        "op3_license_scan": license_scan.ORACLE_OP3,
         "op5_quality_rules": quality_rules.ORACLE_OP5,
         "op7_exact_dedup": exact_dedup.ORACLE_OP7,
+        "op9_source_mixing": source_mixing.ORACLE_OP9,
     }
