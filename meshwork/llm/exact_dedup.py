@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.session import materialize, release, shared_folder, table
@@ -135,6 +135,27 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns.
+
+    Of rows that repeat id and text, one stays.
+    """
+    decided = materialize(exact_dedup(docs, doc_id, text))
+    dropped = decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).where("stay < n")
+    dropped = materialize(dropped)
+    digest = F.sha2(normalised(F.col(text)), 256)
+    out = docs.withColumn("_digest", digest)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone"))
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone"))
+    kept = out.join(gone, same, "left_anti").select(*docs.columns)
+    again = dropped.where("stay > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone"))
+    if again.limit(1).count():  # rows that repeat an id as well; the one with the longest text of them stays
+        first = Window.partitionBy(F.col(doc_id).cast("long"), "_digest").orderBy(F.char_length(F.col(text)).desc(), F.col(text))
+        ones = out.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+        kept = kept.unionByName(ones.select(*docs.columns))
+    return kept
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -129,14 +129,19 @@ def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     The document rules are computed again beside the text rather than joined
     to it by id, so no text is shuffled and repeated ids need no care.
     """
+    clash = {"words", "n_words", "n_repeat_words", "_failed", "_host"} & set(docs.columns)
+    kept = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    whole = F.col(f"_own_{text}" if text in clash else text)
+    host = F.col(f"_own_{domain}" if domain in clash else domain)
     failed = document_rules(docs, doc_id, text, domain).select("domain", "base_failed")
-    hosts = host_verdicts(failed, max_rate).where("host_rejected").select(F.col("domain").alias("_host"))
-    kept = docs.withColumn("words", words_of(F.col(text))) if "words" not in docs.columns else None
-    if kept is None:
-        raise ValueError("documents must not have a column named words")
-    kept = with_repeat_words(kept).withColumn("n_words", F.size("words")).where(~base_failed())
-    kept = kept.withColumn("_host", F.coalesce(F.col(domain).cast("string"), F.lit("")))
-    return kept.join(small_side(materialize(hosts)), "_host", "left_anti").select(*docs.columns)
+    # The rules meet the rows as a join key. As a filter they would be pushed down through the steps that
+    # work them out, and each step's expression would be copied into the next.
+    hosts = host_verdicts(failed, max_rate).where("not host_rejected").select(F.col("domain").alias("_host"), F.lit(False).alias("_failed"))
+    hosts = small_side(materialize(hosts))
+    kept = with_repeat_words(kept.withColumn("words", words_of(whole))).withColumn("n_words", F.size("words"))
+    kept = kept.withColumn("_failed", F.coalesce(base_failed(), F.lit(True))).withColumn("_host", F.coalesce(host.cast("string"), F.lit("")))
+    kept = kept.join(hosts, ["_host", "_failed"], "left_semi").select(*[f"_own_{c}" if c in clash else c for c in docs.columns])
+    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash})
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

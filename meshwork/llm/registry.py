@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import chat_format, exact_dedup, license_scan, packing, quality_rules, simhash, source_mixing, substring_dedup, url_filter
+from meshwork.llm import chat_format, exact_dedup, importance, license_scan, packing, quality_rules, simhash, source_mixing, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op2_importance": importance.op2_importance,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_quality_rules": quality_rules.op5_quality_rules,

@@ -185,5 +185,14 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with their columns.
+
+    Rows without an id stay. Rows that repeat the smallest id stay together.
+    """
+    found = simhash_components(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
