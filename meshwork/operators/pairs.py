@@ -96,7 +96,7 @@ def undirected(pairs: DataFrame, distance: str = "distance", tolerance: float =
     """One row per unordered pair with the smaller distance; fails if two directions differ by more than the tolerance."""
     g = pairs.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(distance).alias(distance), F.max(distance).alias("_hi"))
     ok = F.assert_true(F.col("_hi") - F.col(distance) <= tolerance, F.lit("the directions of a pair differ"))
-    return g.withColumn("_ok", ok).where(F.col("_ok").isNull()).select("x", "y", distance)
+    return g.select("x", "y", F.when(ok.isNull(), F.col(distance)).alias(distance))
 
 
 def missing_pairs(ids: DataFrame, pairs: DataFrame) -> DataFrame:
