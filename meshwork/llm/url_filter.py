@@ -89,7 +89,7 @@ def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
         release(child, tree)
         tree = new
     tail = F.slice("rest", levels + 1, F.greatest(F.size("rest"), F.lit(1)))
-    tree = tree.select("host", "form", F.concat_ws("/", "prefix", F.array_join(tail, "/")).alias("template"))
+    tree = tree.select("host", "form", F.concat_ws("/", "prefix", F.nullif(F.array_join(tail, "/"), F.lit(""))).alias("template"))
     return key.join(tree, ["host", "form"]).select("host", "path", F.concat("template", "tail").alias("template"), "n", "labelled", "good")
 
 

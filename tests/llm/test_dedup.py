@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-import xxhash
+from tests_llm_shared import brute_components, brute_fingerprint
 
 from meshwork.llm import exact_dedup, simhash, substring_dedup
 
@@ -33,29 +33,6 @@ def test_exact_dedup_runs_merge(spark):
     assert got == {b"a": (3, 7, 50), b"b": (1, 1, 9), b"c": (1, 1, 1)}
 
 
-def brute_fingerprint(text, width=3):
-    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
-    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_components(nodes, linked):
-    root = {n: n for n in nodes}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(nodes):
-        for b in nodes[:i]:
-            if linked(a, b):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {n: find(n) for n in nodes}
-
-
 @pytest.mark.parametrize("cap", [1024, 2])
 def test_simhash_against_brute_force(frame, sample, odd, cap):
     near = [(2000 + i, " ".join(f"t{j}" for j in range(400)) + f" z{i}" * (i % 5), "a") for i in range(12)]

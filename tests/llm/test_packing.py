@@ -1,48 +1,8 @@
-import zlib
-from collections import defaultdict
-
 import numpy as np
-import public_tokenizers
-import tokenizers
+from tests_llm_shared import PATH, check_pieces
 
 from meshwork.llm import packing
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
-
-
-def check_pieces(rows, pieces, capacity=1024):
-    """Each id in exactly one piece, sequences gapless and within the capacity; returns the padding."""
-    tok = tokenizers.Tokenizer.from_file(PATH)
-    ids = [(d, tok.encode(t or "", add_special_tokens=False).ids + [0]) for d, t, _ in rows]
-    want, got = defaultdict(list), defaultdict(list)
-    for p in pieces:
-        got[p.doc_id, p.doc_tokens].append((p.start, p.length, p.ids_crc32))
-    for d, x in ids:
-        want[d, len(x)].append(x)
-    assert set(want) == set(got)
-    for key, texts in want.items():
-        have = sorted(got[key])
-        if len(texts) == 1:
-            at = 0
-            for start, length, crc in have:
-                assert start == at and crc == zlib.crc32(np.array(texts[0][start : start + length], "<u4").tobytes())
-                at += length
-            assert at == len(texts[0])
-        else:
-            assert sum(n for _, n, _ in have) == sum(map(len, texts))
-    used = defaultdict(list)
-    for p in pieces:
-        used[p.sequence_id].append((p.offset, p.length))
-    for spans in used.values():
-        at = 0
-        for o, n in sorted(spans):
-            assert o == at and n > 0
-            at += n
-        assert at <= capacity
-    total = [sum(n for _, n in s) for s in used.values()]
-    return sum(capacity - n for n in total if n & (n - 1)) / (capacity * len(total)), len(total)
-
-
 def test_packing_round_trip(frame, sample, odd):
     rows = sample + odd
     padding, _ = check_pieces(rows, packing.pack(frame(rows), PATH).collect())
