@@ -102,7 +102,7 @@ def _lloyd(step: int, source: str) -> str:
 c{step} AS (SELECT label, list(m ORDER BY d) AS x FROM (SELECT label, d, avg(v) AS m FROM (SELECT label, unnest(range(1, 65)) AS d, unnest(x) AS v FROM a{step}) GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@query(sql(f"SELECT a.id, b.label, round({DIST}, 6) AS d1 FROM fx_nodes a, c3 b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({DIST}, 9), b.label) = 1", "c0 AS (SELECT id AS label, x FROM fx_nodes WHERE id < 6), " + ", ".join(_lloyd(i + 1, f"c{i}") for i in range(3))))
+@query(sql(f"SELECT a.id, b.label, round(round({DIST}, 9), 6) AS d1 FROM fx_nodes a, c3 b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({DIST}, 9), b.label) = 1", "c0 AS (SELECT id AS label, x FROM fx_nodes WHERE id < 6), " + ", ".join(_lloyd(i + 1, f"c{i}") for i in range(3))))
 def lloyd_fixed_3iter(spark, sf):
     n = fx.nodes(spark, sf)
     return cluster.lloyd(n, n.where("id < 6").select(F.col("id").alias("label"), "x"), 3).withColumn("d1", R(F.col("d1")))
