@@ -109,7 +109,7 @@ def _seeds(length: int, seed: int):
 def _windows(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, first, second, docs, packed = b.column(0).to_pylist(), [], [], [], []
+            ids, first, docs, packed = b.column(0).to_pylist(), [], [], []
             for i, t in enumerate(b.column(1)):
                 words = words_of(t.as_py())
                 hashes = word_hashes(words)
@@ -117,12 +117,12 @@ def _windows(length: int, seed: int):
                 starts = np.flatnonzero(np.isin(chosen, b.column(2)[i].values.to_numpy()))
                 if len(starts):
                     first.append(run_hashes(hashes, length, BASES[0])[starts])
-                    second.append(run_hashes(hashes, length, BASES[1])[starts])
+                    check = (run_hashes(hashes, length, BASES[1])[starts] >> np.uint64(48)).astype(np.int64)
                     docs.append(np.full(len(starts), ids[i], np.int64))
-                    packed.append(starts.astype(np.int64) << 16 | tag_of(digest_of(words)))
+                    packed.append(starts.astype(np.int64) << 32 | check << 16 | tag_of(digest_of(words)))
             if docs:
-                columns = [np.concatenate(first).view(np.int64), np.concatenate(second).view(np.int64), np.concatenate(docs), np.concatenate(packed)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["first", "second", "doc_id", "packed"])
+                columns = [np.concatenate(first).view(np.int64), np.concatenate(docs), np.concatenate(packed)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "doc_id", "packed"])
 
     return run
 
@@ -184,25 +184,31 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     places = own.mapInArrow(_seeds(length, seed), "anchor long, doc_id long, place int")
     places = materialize(places)
     free_shuffles(spark)
-    common = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # what a join meets is written first: AQE splits a hot key only where both sides come straight from a shuffle
+    common = materialize(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    free_shuffles(spark)
     seeds = places.join(common, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     seeds = materialize(seeds)
-    release(places)
+    release(places, common)
     free_shuffles(spark)
-    windows = rows.join(seeds, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(length, seed), "first long, second long, doc_id long, packed long")
-    windows = materialize(windows)
+    windows = rows.join(seeds, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(length, seed), "hash long, doc_id long, packed long")
+    stored = windows = materialize(windows)
     release(seeds)
     free_shuffles(spark)
-    start = F.shiftright("packed", 16)
-    earliest = windows.groupBy("first", "second").agg(F.min(F.struct("doc_id", start.alias("start"))).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(earliest, ["first", "second"]).where(F.struct("doc_id", start.alias("start")) > F.col("earliest"))
+    # start, 16 more bits of the content's hash and the text's tag in one number keep the rows narrow
+    windows = windows.withColumn("check", F.shiftright("packed", 16).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    start = F.shiftright("packed", 32)
+    earliest = windows.groupBy("hash", "check").agg(F.min(F.struct("doc_id", start.alias("start"))).alias("earliest"), F.count(F.lit(1)).alias("n"))
+    earliest = materialize(earliest.where("n > 1").drop("n"))
+    free_shuffles(spark)
+    later = windows.join(earliest, ["hash", "check"]).where(F.struct("doc_id", start.alias("start")) > F.col("earliest"))
     tag = F.col("packed").bitwiseAND(F.lit(0xFFFF)).cast("int")
     found = later.groupBy("doc_id", tag.alias("tag")).agg(F.collect_list(start).alias("starts")).withColumn("copy", F.lit(False))
     low = F.conv(F.hex(F.substring("digest", 2, 1)), 16, 10).cast("int") * 256 + F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
     copies = marked.where("copy").select("doc_id", low.alias("tag"), F.expr("cast(array() as array<bigint>)").alias("starts"), F.lit(True).alias("copy"))
     found = found.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "copy", "starts")).alias("found"))
     found = materialize(found)
-    release(windows, marked, summary)
+    release(stored, earliest, marked, summary)
     free_shuffles(spark)
     return found
 
