@@ -27,7 +27,7 @@ from meshwork.session import materialize, small_side, table
 SLOTS = 256
 BLOCK = 16
 #: Ranges of ids within which the rows of a source are numbered.
-RANGES = 16
+RANGES = 64
 #: Weight of a source by its number of documents: the power that flattens the natural shares.
 POWER = 0.5
 
