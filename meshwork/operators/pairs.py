@@ -57,15 +57,16 @@ def knn_edges(pairs: DataFrame, k: int, by: list[str] | None = None, nearest: bo
     return edge.agg(F.max("score").alias("score"), (F.count(F.lit(1)) == 2).alias("mutual"))
 
 
-def block_knn(nodes: DataFrame, k: int, blocks: int, id: str = "id", vector: str = "x", digits: int = 9) -> DataFrame:
-    """(src, dst, score): each node's k most cosine-similar others, by blocks of nodes.
+def block_knn(nodes: DataFrame, k: int, blocks: int, id: str = "id", vector: str = "x", digits: int = 9, by: list[str] | None = None) -> DataFrame:
+    """(by, src, dst, score): each node's k most cosine-similar others in its slice, by blocks of nodes.
 
-    Block pairs are keys of a shuffle, each with 2 / blocks of all nodes; choose ``blocks`` so that a pair
-    of blocks fits a task.
+    Pairs of blocks are keys of a shuffle, each with 2 / blocks of a slice; choose ``blocks`` so that
+    a pair of blocks fits a task. A node of norm zero is nobody's partner.
     """
-    keyed = nodes.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("x"), F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("own"))
+    by = by or []
+    keyed = nodes.select(*by, F.col(id).cast("long").alias("id"), F.col(vector).alias("x"), F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = keyed.withColumn("other", other).select("id", "x", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    dealt = keyed.withColumn("other", other).select(*by, "id", "x", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
@@ -75,23 +76,32 @@ def block_knn(nodes: DataFrame, k: int, blocks: int, id: str = "id", vector: str
         m = np.divide(m, size[:, None], out=np.zeros_like(m), where=size[:, None] > 0)
         ids, own, out = pdf.id.to_numpy(), pdf.own.to_numpy(), []
         for left, right in {(p, q), (q, p)}:
-            a, b = np.flatnonzero(own == left), np.flatnonzero(own == right)
+            a, b = np.flatnonzero((own == left) & (size > 0)), np.flatnonzero((own == right) & (size > 0))
             for at in range(0, len(a), 1024):
                 rows = a[at : at + 1024]
-                s = np.round(m[rows] @ m[b].T, digits)
+                s = m[rows] @ m[b].T
                 s[ids[rows][:, None] == ids[b][None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(s, best, 1)
-                src, dst = np.repeat(ids[rows], best.shape[1]), ids[b][best].ravel()
-                out.append(pd.DataFrame({"src": src, "dst": dst, "score": value.ravel()}))
+                best = np.argsort(-np.round(s, digits), axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"src": np.repeat(ids[rows], best.shape[1]), "dst": ids[b][best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
         found = pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "score": []})
-        return found[np.isfinite(found.score)].astype({"src": "int64", "dst": "int64"})
+        found = found[np.isfinite(found.score)].astype({"src": "int64", "dst": "int64"})
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "src": found.src, "dst": found.dst, "score": found.score})[[*by, "src", "dst", "score"]]
 
-    part = dealt.groupBy("p", "q").applyInPandas(score, "src long, dst long, score double")
-    best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    kinds = dict(nodes.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "src long", "dst long", "score double"])
+    part = dealt.groupBy(*by, "p", "q").applyInPandas(score, schema)
+    best = Window.partitionBy(*by, "src").orderBy(F.desc(F.round("score", digits)), "dst")
     return part.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
+def block_edges(nodes: DataFrame, k: int, blocks: int, by: list[str] | None = None) -> DataFrame:
+    """(by, x, y, score, mutual): the edges of ``knn_edges`` over cosines, by blocks."""
+    by = by or []
+    top = block_knn(nodes, k, blocks, by=by)
+    edge = top.groupBy(*by, F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
+    return edge.agg(F.max("score").alias("score"), (F.count(F.lit(1)) == 2).alias("mutual"))
+
+
 def undirected(pairs: DataFrame, distance: str = "distance", tolerance: float = 0.5) -> DataFrame:
     """One row per unordered pair with the smaller distance; fails if two directions differ by more than the tolerance."""
     g = pairs.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(distance).alias(distance), F.max(distance).alias("_hi"))

@@ -41,8 +41,7 @@ def vectors(spark, sf):
 
 
 def network(spark, sf):
-    scored = pairs.all_pairs(vectors(spark, sf), pairs.cosine(F.col("a.x"), F.col("b.x")), by=["period"])
-    return pairs.knn_edges(scored, 8, by=["period"])
+    return pairs.block_edges(vectors(spark, sf), 8, 2, by=["period"])
 
 
 @query(with_views("fx_users", more=NET) + "SELECT period, x, y, round(score, 6) AS similarity, mutual FROM e")
