@@ -138,8 +138,11 @@ UN = "un AS (SELECT a.id AS x, b.id AS y, unnest(a.x) AS u, unnest(b.x) AS v, un
 
 @query(with_views("fx_consumption", more=SERIES + ", " + UN + ", cs AS (SELECT x, y, corr(u, v) AS score FROM un GROUP BY 1, 2), " + knn_sql("cs", k=4)) + "SELECT x, y, round(score, 6) AS score, mutual FROM e")
 def series_corr_knn(spark, sf):
-    s = pairs.all_pairs(series(spark, sf), pairs.correlation(F.col("a.x"), F.col("b.x")))
-    return pairs.knn_edges(s, 4).select("x", "y", R(F.col("score")).alias("score"), "mutual")
+    """Pearson correlations as cosines of centred series, by blocks."""
+    s = series(spark, sf)
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    centred = s.withColumn("m", mean).select("id", F.transform("x", lambda v: v - F.col("m")).alias("x"))
+    return pairs.block_edges(centred, 4, 4).select("x", "y", R(F.col("score")).alias("score"), "mutual")
 
 
 LAGS = [0, -1, 1, -2, 2]
