@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from tests_llm_shared import brute_components, brute_fingerprint
+from tests_llm_shared import brute_components, brute_fingerprint, brute_shingles, jaccard
 
 from meshwork.llm import exact_dedup, simhash, substring_dedup
 
@@ -87,6 +87,44 @@ def test_golay_code_is_perfect_and_keys_meet():
     assert all(kx[i] & ky[i] for i in range(3000))
 
 
+def edited(rng, text, share):
+    """The words of a text with about this share replaced."""
+    return " ".join(f"e{rng.integers(1 << 40)}" if rng.random() < share else x for x in text.split())
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_components_against_brute_force(frame, sample, odd, block, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "NEAR_BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = sample[:100] + odd
+    for i, (_, t, s) in enumerate(sample[:100]):
+        rows += [(2000 + 10 * i + k, edited(rng, t, share), s) for k, share in enumerate((0.005, 0.012, 0.018, 0.025, 0.04))]
+    chain = sample[5][1]
+    for i in range(40):
+        chain = edited(rng, chain, 0.015)
+        rows.append((4000 + i, chain, "s"))
+    got = {r.node: r.component for r in simhash.near_components(frame(rows)).collect()}
+    sets = [(d, brute_shingles(t)) for d, t, _ in rows if d is not None]
+    linked = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and jaccard(x, y) >= 0.8]
+    pairs = {frozenset(x) for x in linked}
+    want = brute_components(sorted({d for d, _ in sets}), lambda a, b: frozenset((a, b)) in pairs)
+    found = sum(got.get(a, a) == got.get(b, b) for a, b in linked)
+    assert found >= 0.95 * len(linked) > 200
+    # nothing is linked that brute force doesn't link
+    assert all(want[a] == want[b] for a, b in got.items())
+
+
+def test_near_copies_keep_the_smallest_id_and_other_rows(frame):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(3, text, "a"), (2, text.upper(), "a"), (9, text + " end", "b"), (4, "else " * 3, "a"), (5, "", "a"), (6, None, "a"), (None, text, "a"), (2, text, "a")]
+    kept = simhash.keep_documents(frame(rows))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([2, 2, 4, 5, None])
+    assert kept.columns == frame([]).columns
+    assert simhash.keep_documents(frame([])).count() == 0
+
+
 def brute_substring(rows, length=20):
     split = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
     first = {}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import source_mixing
 from meshwork.session import materialize
-from tests_llm_shared import brute_components, brute_fingerprint, brute_rules, check_pieces
+from tests_llm_shared import brute_components, brute_rules, brute_shingles, check_pieces, jaccard
 
 NAMES = [n for n, _ in corpus_pipeline.STAGES]
 
@@ -49,13 +49,16 @@ def test_each_stage_against_brute_force(stages):
         key = re.sub("[\x20\x09-\x0d]", "", t or "")
         best[key] = min(best.get(key, (0, 1, 0)), (-len(t or ""), d is None, d or 0))
     assert sorted(-1 if k is None else k for k in ids(exact).elements()) == sorted(-1 if n else d for _, n, d in best.values())
-    prints = [(r.doc_id, brute_fingerprint(r.text)) for r in exact.collect()]
-    groups = brute_components(sorted({p for _, p in prints}), lambda a, b: (a ^ b).bit_count() <= 2)
+    prints = [(r.doc_id, brute_shingles(r.text)) for r in exact.collect()]
+    different = list({x for d, x in prints if d is not None})
+    groups = brute_components(range(len(different)), lambda a, b: jaccard(different[a], different[b]) >= 0.8)
+    group = {x: groups[i] for i, x in enumerate(different)}
     first = {}
-    for d, p in prints:
+    for d, x in prints:
         if d is not None:
-            first[groups[p]] = min(first.get(groups[p], d), d)
-    assert ids(near) == Counter(d for d, p in prints if d is None or first[groups[p]] == d)
+            first[group[x]] = min(first.get(group[x], d), d)
+    assert ids(near) == Counter(d for d, x in prints if d is None or first[group[x]] == d)
+    assert sum(ids(near).values()) < sum(ids(exact).values())
     assert ids(mixed) == ids(near)
     padding, n = check_pieces([(r.doc_id, r.text, r.source) for r in mixed.collect()], packed.collect())
     assert padding * n < 1.5

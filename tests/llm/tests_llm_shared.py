@@ -32,6 +32,15 @@ def brute_fingerprint(text, width=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def brute_shingles(text, width=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def brute_components(nodes, linked):
     root = {n: n for n in nodes}
 
