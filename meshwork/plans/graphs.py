@@ -83,8 +83,14 @@ def cosine_pairs(spark, sf):
     return pairs.all_pairs(fx.nodes(spark, sf), pairs.cosine(F.col("a.x"), F.col("b.x")))
 
 
+def n_blocks(n):
+    """Blocks of about 1,024 nodes, four at least."""
+    return max(4, -(-n.count() // 1024))
+
+
 def edges(spark, sf):
-    return pairs.knn_edges(cosine_pairs(spark, sf), 8)
+    n = fx.nodes(spark, sf)
+    return pairs.block_edges(n, 8, n_blocks(n))
 
 
 @query(with_views("fx_nodes", more=PAIRS) + "SELECT x, y, round(score, 6) AS score FROM ps WHERE score > 0.2")
@@ -100,12 +106,13 @@ def cosine_knn8(spark, sf):
 @query(with_views("fx_nodes", more=PAIRS + ", e_b AS (SELECT x AS src, y AS dst, score FROM ps UNION ALL SELECT y, x, score FROM ps)") + "SELECT src, dst, round(score, 6) AS score FROM e_b QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) <= 5")
 def block_knn5(spark, sf):
     """The scalable path: block products with partial and final top-k."""
-    return pairs.block_knn(fx.nodes(spark, sf), 5, 4).select("src", "dst", R(F.col("score")).alias("score"))
+    n = fx.nodes(spark, sf)
+    return pairs.block_knn(n, 5, n_blocks(n)).select("src", "dst", R(F.col("score")).alias("score"))
 
 
 @query(with_views("fx_nodes", more=PAIRS + ", c(cut) AS (VALUES (0.1), (0.2), (0.3)), t AS (SELECT cut, x, y FROM ps, c WHERE score > cut), d AS (SELECT cut, id, count(*) AS d FROM (SELECT cut, x AS id FROM t UNION ALL SELECT cut, y FROM t) GROUP BY 1, 2)") + "SELECT CAST(cut AS DOUBLE) AS cut, CAST(sum(d) / 2 AS BIGINT) AS n_edges, count(*) AS n_linked, max(d) AS max_degree, 120 - count(*) AS n_isolated, round(CAST(sum(d) AS DOUBLE) / (120 * 119), 6) AS density FROM d GROUP BY 1")
 def threshold_sweep(spark, sf):
-    t = pairs.threshold_sweep(cosine_pairs(spark, sf), 120, [0.1, 0.2, 0.3])
+    t = pairs.threshold_sweep(cosine_pairs(spark, sf), fx.nodes(spark, sf).count(), [0.1, 0.2, 0.3])
     return t.withColumn("density", R(F.col("density"))).withColumn("n_isolated", F.col("n_isolated").cast("long"))
 
 
@@ -273,7 +280,8 @@ def network_overlap(spark, sf):
     """Edges that two networks share, against the number expected at random."""
     a, b = two_networks(spark, sf)
     j = graph.jaccard(a, b, ["x", "y"]).withColumn("jaccard", R(F.col("jaccard")))
-    return j.withColumn("expected", R(F.col("n_a").cast("double") * F.col("n_b") / (120 * 119 / 2)))
+    n = fx.nodes(spark, sf).count()
+    return j.withColumn("expected", R(F.col("n_a").cast("double") * F.col("n_b") / (n * (n - 1) / 2)))
 
 
 @query(with_views("fx_nodes", more=BOTH + ", j AS (SELECT ps.x, ps.y, ps.score, ds.score AS d FROM ps JOIN ds USING (x, y))") + "SELECT CASE WHEN d > 0 AND d <= 1.2 THEN 'near' WHEN d > 1.2 AND d <= 1.4 THEN 'mid' WHEN d > 1.4 AND d <= 9 THEN 'far' END AS band, count(*) AS n, round(avg(score), 6) AS mean, round(corr(score, ln(1 + d)), 6) AS r FROM j GROUP BY 1")

@@ -59,9 +59,9 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def nodes(spark: SparkSession, sf: str, limit: int = 120) -> DataFrame:
-    """(id, x, label): the first vectors, as doubles, with their label."""
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < limit).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("long").alias("label"))
+def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, x, label): all vectors, as doubles, with their label."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("long").alias("label"))
 
 
 VIEWS = {
