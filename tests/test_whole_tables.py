@@ -40,3 +40,10 @@ def test_every_vector_has_neighbours_and_a_label(spark):
     q = __spark_entry__.queries()
     assert q["block_knn5"](spark, SF).select("src").distinct().count() == 500
     assert q["ward"](spark, SF).select("id").distinct().count() == 500
+
+
+def test_cyclic_shift_has_rows(spark, con):
+    """Every month of the orders but the one that isn't shifted."""
+    months = con.execute("SELECT count(DISTINCT date_trunc('month', o_orderdate)) FROM orders").fetchone()[0]
+    got = same_without(spark, con, "cyclic_shift", ("WHERE o_orderdate < DATE '1994-07-01' ", ""))
+    assert len(got) == months - 1 > 0
