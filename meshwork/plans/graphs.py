@@ -247,8 +247,8 @@ im AS (SELECT x, y, distance, false AS imputed FROM rd UNION ALL SELECT a.id, b.
 
 
 def roads(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey < 900").select("o_orderkey", (F.col("o_custkey") % 60).alias("x"))
-    p = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("x", (F.col("l_suppkey") % 60).alias("y"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("x"))
+    p = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("x", F.col("l_suppkey").alias("y"))
     return pairs.undirected(p.withColumn("distance", ((F.col("x") + F.col("y")) * 7 % 50).cast("double")))
 
 

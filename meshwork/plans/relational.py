@@ -134,7 +134,7 @@ def log_ratios(spark, sf):
 @query("""SELECT s_suppkey, c.c_custkey, round(2 * 6371.0 * asin(sqrt(least(pow(sin(radians(c_acctbal / 200 - s_acctbal / 200) / 2), 2) + cos(radians(s_acctbal / 200)) * cos(radians(c_acctbal / 200)) * pow(sin(radians(CAST(c_custkey AS DOUBLE) - s_suppkey) / 2), 2), 1.0))), 4) AS km
 FROM supplier JOIN customer c ON c_nationkey = s_nationkey WHERE c_custkey < 200""")
 def haversine_distance(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 200").select("c_custkey", "c_nationkey", "c_acctbal")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     km = S.haversine_km(F.col("s_acctbal") / 200, F.col("s_suppkey").cast("double"), F.col("c_acctbal") / 200, F.col("c_custkey").cast("double"))
     return s.join(c, c.c_nationkey == s.s_nationkey).select("s_suppkey", "c_custkey", S.rounded(km, 4).alias("km"))
@@ -253,7 +253,7 @@ def ring_geometry(spark, sf):
 SELECT a.poly AS x, b.poly AS y, count(*) AS n_shared FROM v a JOIN v b ON a.vx = b.vx AND a.vy = b.vy AND a.poly < b.poly GROUP BY 1, 2 HAVING count(*) >= 2""")
 def shared_vertex_pairs(spark, sf):
     """Polygons that share two or more vertices: an equi-join on the vertex."""
-    o = table(spark, sf, "orders").where("o_custkey < 300").select("o_orderkey", F.col("o_custkey").alias("poly"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("poly"))
     v = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("poly", (F.col("l_partkey") % 400).alias("vx"), (F.col("l_suppkey") % 7).alias("vy")).distinct()
     a, b = v.select(F.col("poly").alias("x"), "vx", "vy"), v.select(F.col("poly").alias("y"), "vx", "vy")
     return a.join(b, ["vx", "vy"]).where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 2")

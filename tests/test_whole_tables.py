@@ -14,12 +14,12 @@ def con():
     return compare.connect(SF)
 
 
-def same_without(spark, con, name, *cuts):
+def same_without(spark, con, name, *cuts, sf=SF):
     """Compares with the query's SQL after taking out each of ``cuts``, as (text, what replaces it)."""
     sql = __spark_entry__.oracle_sql()[name]
     for text, other in cuts:
         sql = sql.replace(text, other)
-    df = __spark_entry__.queries()[name](spark, SF)
+    df = __spark_entry__.queries()[name](spark, sf)
     cur = con.execute(sql)
     columns = [x[0] for x in cur.description]
     want, got = compare.rows_of(columns, cur.fetchall()), compare.rows_of(df.columns, df.collect())
@@ -47,3 +47,15 @@ def test_cyclic_shift_has_rows(spark, con):
     months = con.execute("SELECT count(DISTINCT date_trunc('month', o_orderdate)) FROM orders").fetchone()[0]
     got = same_without(spark, con, "cyclic_shift", ("WHERE o_orderdate < DATE '1994-07-01' ", ""))
     assert len(got) == months - 1 > 0
+
+
+def test_all_customers_and_roads(spark, con):
+    """On tables with more ids than the SQL keeps."""
+    sf = "/root/testdata/sf0.01"
+    wide = compare.connect(sf)
+    assert len(same_without(spark, wide, "haversine_distance", (" WHERE c_custkey < 200", ""), sf=sf)) > 5000
+    assert same_without(spark, wide, "shared_vertex_pairs", (" WHERE o_custkey < 300", ""), sf=sf)
+    roads = ((" % 60", ""), ("o_orderkey < 900 AND ", ""))
+    ids = con.execute("SELECT count(*) FROM (SELECT o_custkey FROM orders UNION SELECT l_suppkey FROM lineitem)").fetchone()[0]
+    assert len(same_without(spark, con, "missing_pairs_impute", *roads)) == ids * (ids - 1) // 2 > 60 * 59 // 2
+    assert same_without(spark, con, "zero_distance_profile", *roads)
