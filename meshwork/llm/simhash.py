@@ -41,9 +41,9 @@ BLOCK = 1 << 15
 #: Words of a shingle and Jaccard similarity of near copies.
 NEAR_WIDTH = 5
 SIMILARITY = 0.8
-#: Segments of 23 bits of the long fingerprint, and how many of them must agree in a key.
-NEAR_SEGMENTS = 16
-TOGETHER = 2
+#: Hash buckets whose shingles are counted, and bits of a parity bitmap.
+COUNTED = 1 << 18
+PARITIES = 1024
 #: Members of a bucket that are compared with each other or with another such block in one task.
 NEAR_BLOCK = 512
 
@@ -203,45 +203,45 @@ def shingle_set(text: str | None, width: int = NEAR_WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in parts), np.uint64))
 
 
-@cache
-def codewords() -> np.ndarray:
-    """(23, 4096): the Golay code with +1 for a bit that is set and -1 for one that isn't, by index."""
-    words = np.arange(4096, dtype=np.int64) << 11
-    words ^= golay()[2][words].astype(np.int64)
-    return (((words[None, :] >> np.arange(23)[:, None]) & 1) * 2 - 1).astype(np.float32)
+def _counted(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(total, (shingle_set(t.as_py(), width) % np.uint64(COUNTED)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
+    return run
 
-def margins(hashes: np.ndarray, segments: int = NEAR_SEGMENTS) -> np.ndarray:
-    """By bit of the long fingerprint: hashes with the bit set less hashes without."""
-    bits = 23 * segments
-    out = np.full(bits, -len(hashes), np.int64)
-    steps = np.arange(1, (bits + 63) // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 4096):
-        z = hashes[at : at + 4096, None] + steps
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        out += 2 * np.unpackbits(z.view(np.uint8), axis=1, count=bits, bitorder="little").sum(axis=0, dtype=np.int64)
-    return out
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles by rarity, of which two sets of this similarity share one at least.
+
+    With n shingles a partner has at least ``similarity`` * n of them. Were none of the first
+    n - ceil(similarity * n) + 1 of each set shared, too few would be left in one of them. This holds for
+    any order that is the same for all sets.
+    """
+    order = np.lexsort((hashes, counts[(hashes % np.uint64(COUNTED)).astype(np.int64)]))
+    return hashes[order[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]]
 
 
-def decode(m: np.ndarray) -> np.ndarray:
-    """Index of the codeword that each row of 23 margins agrees with most: a soft decoding, in which bits near a tie count little."""
-    return (m.astype(np.float32) @ codewords()).argmax(axis=1)
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes falls on each bit: two sets have as many unshared hashes as differing bits, or more."""
+    odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _sketches(width: int, segments: int):
+def _sketches(width: int, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 sets = [shingle_set(t.as_py(), width) for t in b.column(1)]
-                m = np.stack([margins(s, segments) for s in sets])
-                index = decode(m.reshape(-1, 23)).reshape(len(sets), segments)
-                fp = np.packbits(m > 0, axis=1, bitorder="little")
-                fp = np.pad(fp, ((0, 0), (0, -fp.shape[1] % 8))).view(np.int64)
-                columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(index.astype(np.int64))), pa.array(list(fp))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "index", "fp"])
+                first = [prefix(s, counts, similarity).view(np.int64) for s in sets]
+                longs = pa.list_(pa.int64())
+                columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, longs), pa.array([parity(s) for s in sets], longs)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "first", "fp"])
 
     return run
 
@@ -255,25 +255,23 @@ def _sets(width: int):
     return run
 
 
-def _far(similarity: float, segments: int) -> int:
-    """Differing bits beyond which a pair is not near: the expectation at ``similarity`` and four standard deviations."""
-    bits = 23 * segments
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.ceil(bits * p + 4 * (bits * p * (1 - p)) ** 0.5))
+def _unshared(similarity: float) -> float:
+    """The largest share of the two sizes' sum that can be unshared at this similarity; rounding only lets more pairs through."""
+    return (1 - similarity) / (1 + similarity) + 1e-9
 
 
-def _cross(far: int):
+def _cross(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for members in batch.column(0):
                 rows = members.as_py()
-                side, ids, part = (np.array([r[k] for r in rows], np.int64) for k in ("side", "id", "part"))
+                side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "id", "part", "n"))
                 fp = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
                 for i in range(len(ids)):
                     later = side > side[i] if side.any() else ids > ids[i]
-                    at = np.flatnonzero(later & (part != part[i]))
-                    at = at[np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1) <= far]
+                    at = np.flatnonzero(later & (part != part[i]) & (np.abs(n - n[i]) <= share * (n + n[i])))
+                    at = at[np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1) <= share * (n[at] + n[i])]
                     u += [int(min(ids[i], x)) for x in ids[at]]
                     v += [int(max(ids[i], x)) for x in ids[at]]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -293,40 +291,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int)
     return kept
 
 
-def near_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, segments: int = NEAR_SEGMENTS, together: int = TOGETHER
-) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the documents that are linked to others; component is the smallest doc_id reachable.
 
-    Links are pairs of shingle sets with a Jaccard similarity of ``similarity`` or more. Candidates share
-    a key: the Golay indices of ``together`` segments of a long fingerprint of the set, with the size of the set in one of two
-    staggered grids, of which any two sets that can be so similar share a cell. Two sets of similarity 0.8 agree in a
-    segment with probability 0.27, so they share a key with probability 0.95 (0.975 at 0.83). Chance collisions grow with
-    the square of the table: for over 10^8 documents take 3 ``together`` of 20 ``segments``, with a recall of 0.93 at 0.8.
+    Links are all pairs of shingle sets with a Jaccard similarity of ``similarity`` or more. Candidates share a
+    shingle of their prefixes (``prefix``), which no link can do without; shingles are ordered by the count of
+    their hash bucket, so that common ones come last and are keys of few documents. Candidates whose sizes or parity bitmaps
+    show more unshared shingles than a link can have are dropped; the others are verified. No step is probabilistic.
 
     Members of a bucket are first held against its smallest id; then, since links within a component change nothing, only
     members of different components are compared, in blocks. Texts without words are alike; rows without an id are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    sketches = rows.mapInArrow(_sketches(width, segments), "id long, n long, index array<long>, fp array<long>")
-    grid = F.log(F.col("n").cast("double")) / F.lit(2 * float(np.log(1 / similarity)) * 1.001)
-    sketches = materialize(sketches.select("id", "index", "fp", F.floor(grid).alias("cell0"), F.floor(grid + 0.5).alias("cell1")))
-    keys = []
-    for k, at in enumerate(combinations(range(segments), together)):
-        parts = [F.col("index")[i] for i in at]
-        keys += [F.xxhash64(F.lit(2 * k + half), F.col(f"cell{half}"), *parts) for half in range(2)]
-    keyed = sketches.select("id", F.explode(F.array(*keys)).alias("key"))
+    counts = np.zeros(COUNTED, np.int64)
+    for r in rows.select("text").mapInArrow(_counted(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.bucket] = r.n
+    sketches = materialize(rows.mapInArrow(_sketches(width, counts, similarity), "id long, n long, first array<long>, fp array<long>"))
+    keyed = sketches.select("id", F.explode("first").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v")).where("n > 1 AND u <> v")
     buckets = materialize(buckets)
     larger = buckets.where("n > 2").select("key", "n", "u")
     members = materialize(keyed.join(small_side(larger), "key"))
     free_shuffles(docs.sparkSession)
     pairs = buckets.where("n = 2").select("u", "v").union(members.where("id <> u").select("u", F.col("id").alias("v"))).distinct()
-    far = _far(similarity, segments)
-    fps = sketches.select("id", "fp")
-    joined = pairs.join(fps.select(F.col("id").alias("v"), F.col("fp").alias("fv")), "v").join(fps.select(F.col("id").alias("u"), F.col("fp").alias("fu")), "u")
+    share = _unshared(similarity)
+    fps = sketches.select("id", F.col("n").alias("size"), "fp")
+    joined = pairs.join(fps.select(F.col("id").alias("v"), F.col("size").alias("nv"), F.col("fp").alias("fv")), "v")
+    joined = joined.join(fps.select(F.col("id").alias("u"), F.col("size").alias("nu"), F.col("fp").alias("fu")), "u")
+    most = F.lit(share) * (F.col("nu") + F.col("nv"))
+    joined = joined.where(F.abs(F.col("nu") - F.col("nv")) <= most)
     differing = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    pairs = materialize(joined.where(differing <= far).select("u", "v").distinct())
+    pairs = materialize(joined.where(differing <= most).select("u", "v").distinct())
     edges = _verified(pairs, rows, similarity, width)
     release(buckets, pairs)
     parts = materialize(connected_components(edges))
@@ -339,11 +334,11 @@ def near_components(
     left = placed.join(materialize(open_keys), "key", "left_semi").withColumn("mine", mine)
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(fps, "id")
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "id", "part", "fp")
+    member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "id", "part", F.col("size").alias("n"), "fp")
     met = left.groupBy("key", low.alias("low"), high.alias("high")).agg(F.sort_array(F.collect_set(member)).alias("rows"))
     # the same few members mostly meet under several keys
     met = met.where(F.size("rows") > 1).select("rows").distinct()
-    more = materialize(met.mapInArrow(_cross(far), "u long, v long").distinct())
+    more = materialize(met.mapInArrow(_cross(share), "u long, v long").distinct())
     if more.isEmpty():
         return parts
     return connected_components(edges.union(_verified(more, rows, similarity, width)))

@@ -116,6 +116,25 @@ def test_near_components_against_brute_force(frame, sample, odd, block, monkeypa
     assert all(want[a] == want[b] for a, b in got.items())
 
 
+def test_near_components_find_every_link(frame):
+    """Pairs of their own around the threshold, so that no other path joins them."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        words = [f"d{i}w{k}" for k in range(60 + i % 90)]
+        rows.append((2 * i, " ".join(words), "s"))
+        for _ in range(1 + len(words) // 65):
+            words[rng.integers(len(words))] = f"x{rng.integers(1 << 40)}"
+        rows.append((2 * i + 1, " ".join(words), "s"))
+    sets = [brute_shingles(t) for _, t, _ in rows]
+    linked = {2 * i for i in range(600) if jaccard(sets[2 * i], sets[2 * i + 1]) >= 0.8}
+    got = simhash.near_components(frame(rows)).collect()
+    assert {r.node for r in got if r.node != r.component} == {i + 1 for i in linked}
+    assert len(linked) > 200
+
+
 def test_near_copies_keep_the_smallest_id_and_other_rows(frame):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(3, text, "a"), (2, text.upper(), "a"), (9, text + " end", "b"), (4, "else " * 3, "a"), (5, "", "a"), (6, None, "a"), (None, text, "a"), (2, text, "a")]
