@@ -110,7 +110,7 @@ def block_knn5(spark, sf):
     return pairs.block_knn(n, 5, n_blocks(n)).select("src", "dst", R(F.col("score")).alias("score"))
 
 
-@query(with_views("fx_nodes", more=PAIRS + ", c(cut) AS (VALUES (0.1), (0.2), (0.3)), t AS (SELECT cut, x, y FROM ps, c WHERE score > cut), d AS (SELECT cut, id, count(*) AS d FROM (SELECT cut, x AS id FROM t UNION ALL SELECT cut, y FROM t) GROUP BY 1, 2)") + "SELECT CAST(cut AS DOUBLE) AS cut, CAST(sum(d) / 2 AS BIGINT) AS n_edges, count(*) AS n_linked, max(d) AS max_degree, 120 - count(*) AS n_isolated, round(CAST(sum(d) AS DOUBLE) / (120 * 119), 6) AS density FROM d GROUP BY 1")
+@query(with_views("fx_nodes", more=PAIRS + ", c(cut) AS (VALUES (0.1), (0.2), (0.3)), t AS (SELECT cut, x, y FROM ps, c WHERE score > cut), d AS (SELECT cut, id, count(*) AS d FROM (SELECT cut, x AS id FROM t UNION ALL SELECT cut, y FROM t) GROUP BY 1, 2)") + "SELECT CAST(cut AS DOUBLE) AS cut, CAST(sum(d) / 2 AS BIGINT) AS n_edges, count(*) AS n_linked, max(d) AS max_degree, any_value(k) - count(*) AS n_isolated, round(CAST(sum(d) AS DOUBLE) / any_value(k * (k - 1)), 6) AS density FROM d, (SELECT count(*) AS k FROM fx_nodes) GROUP BY 1")
 def threshold_sweep(spark, sf):
     t = pairs.threshold_sweep(cosine_pairs(spark, sf), fx.nodes(spark, sf).count(), [0.1, 0.2, 0.3])
     return t.withColumn("density", R(F.col("density"))).withColumn("n_isolated", F.col("n_isolated").cast("long"))
@@ -168,7 +168,7 @@ def lag_corr_pairs(spark, sf):
 NODES_EDGES = with_views("fx_nodes", more=EDGES + ", dg AS (SELECT n.id, count(e.x) AS degree FROM fx_nodes n LEFT JOIN e ON n.id IN (e.x, e.y) GROUP BY 1)")
 
 
-@query(NODES_EDGES + "SELECT count(*) AS n_nodes, min(degree) AS min_degree, median(degree) AS median_degree, round(avg(degree), 6) AS mean_degree, max(degree) AS max_degree, round(stddev_pop(degree), 6) AS std_degree, count(*) FILTER (degree = 0) AS n_isolated, CAST(sum(degree) / 2 AS BIGINT) AS n_edges, round(CAST(sum(degree) AS DOUBLE) / (120 * 119), 6) AS density FROM dg")
+@query(NODES_EDGES + "SELECT count(*) AS n_nodes, min(degree) AS min_degree, median(degree) AS median_degree, round(avg(degree), 6) AS mean_degree, max(degree) AS max_degree, round(stddev_pop(degree), 6) AS std_degree, count(*) FILTER (degree = 0) AS n_isolated, CAST(sum(degree) / 2 AS BIGINT) AS n_edges, round(CAST(sum(degree) AS DOUBLE) / (count(*) * (count(*) - 1)), 6) AS density FROM dg")
 def edge_degree_stats(spark, sf):
     d = graph.degree_stats(fx.nodes(spark, sf), edges(spark, sf))
     return d.withColumns({c: R(F.col(c)) for c in ("mean_degree", "std_degree", "density")})
@@ -241,7 +241,7 @@ def edges_within_label(spark, sf):
     return graph.edges_within(edges(spark, sf), fx.nodes(spark, sf)).withColumn("share_within", R(F.col("share_within")))
 
 
-ROADS = """rd AS (SELECT DISTINCT least(o_custkey % 60, l_suppkey % 60) AS x, greatest(o_custkey % 60, l_suppkey % 60) AS y, CAST((o_custkey % 60 + l_suppkey % 60) * 7 % 50 AS DOUBLE) AS distance FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 900 AND o_custkey % 60 <> l_suppkey % 60),
+ROADS = """rd AS (SELECT DISTINCT least(o_custkey, l_suppkey) AS x, greatest(o_custkey, l_suppkey) AS y, CAST((o_custkey + l_suppkey) * 7 % 50 AS DOUBLE) AS distance FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey),
 ids AS (SELECT DISTINCT x AS id FROM (SELECT x FROM rd UNION SELECT y FROM rd)),
 im AS (SELECT x, y, distance, false AS imputed FROM rd UNION ALL SELECT a.id, b.id, 0.0, true FROM ids a JOIN ids b ON a.id < b.id WHERE (a.id, b.id) NOT IN (SELECT (x, y) FROM rd))"""
 
@@ -275,7 +275,7 @@ def two_networks(spark, sf):
     return edges(spark, sf), pairs.knn_edges(distances(spark, sf), 8, nearest=True)
 
 
-@query(with_views("fx_nodes", more=BOTH + ", i AS (SELECT count(*) AS n FROM e JOIN f USING (x, y))") + "SELECT (SELECT count(*) FROM e) AS n_a, (SELECT count(*) FROM f) AS n_b, n AS n_both, round(n / ((SELECT count(*) FROM e) + (SELECT count(*) FROM f) - n), 6) AS jaccard, round(CAST((SELECT count(*) FROM e) AS DOUBLE) * (SELECT count(*) FROM f) / (120 * 119 / 2), 6) AS expected FROM i")
+@query(with_views("fx_nodes", more=BOTH + ", i AS (SELECT count(*) AS n FROM e JOIN f USING (x, y))") + "SELECT (SELECT count(*) FROM e) AS n_a, (SELECT count(*) FROM f) AS n_b, n AS n_both, round(n / ((SELECT count(*) FROM e) + (SELECT count(*) FROM f) - n), 6) AS jaccard, round(CAST((SELECT count(*) FROM e) AS DOUBLE) * (SELECT count(*) FROM f) / (SELECT count(*) * (count(*) - 1) / 2 FROM fx_nodes), 6) AS expected FROM i")
 def network_overlap(spark, sf):
     """Edges that two networks share, against the number expected at random."""
     a, b = two_networks(spark, sf)

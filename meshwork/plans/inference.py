@@ -145,7 +145,7 @@ def sample_preparation(spark, sf):
     return stats.prepare(sample(spark, sf), "y", "g", "r", 45, 20, rounds=2).select("id", "y")
 
 
-Q = "q AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS x, median(o_totalprice) AS y FROM orders WHERE o_orderdate < DATE '1994-07-01' GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, x, y FROM q), sh AS (SELECT range AS shift FROM range(1, (SELECT count(*) FROM s))), j AS (SELECT shift, a.x, b.y FROM s a, sh JOIN s b ON b.i = (a.i + shift) % (SELECT count(*) FROM s))"
+Q = "q AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS x, median(o_totalprice) AS y FROM orders GROUP BY 1), s AS (SELECT row_number() OVER (ORDER BY m) - 1 AS i, x, y FROM q), sh AS (SELECT range AS shift FROM range(1, (SELECT count(*) FROM s))), j AS (SELECT shift, a.x, b.y FROM s a, sh JOIN s b ON b.i = (a.i + shift) % (SELECT count(*) FROM s))"
 
 
 @query("WITH " + Q + f" SELECT shift, round(corr(u, v), 6) AS rho FROM (SELECT shift, {avg_rank('x', 'shift')} AS u, {avg_rank('y', 'shift')} AS v FROM j) GROUP BY 1")

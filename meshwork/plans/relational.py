@@ -132,7 +132,7 @@ def log_ratios(spark, sf):
 
 
 @query("""SELECT s_suppkey, c.c_custkey, round(2 * 6371.0 * asin(sqrt(least(pow(sin(radians(c_acctbal / 200 - s_acctbal / 200) / 2), 2) + cos(radians(s_acctbal / 200)) * cos(radians(c_acctbal / 200)) * pow(sin(radians(CAST(c_custkey AS DOUBLE) - s_suppkey) / 2), 2), 1.0))), 4) AS km
-FROM supplier JOIN customer c ON c_nationkey = s_nationkey WHERE c_custkey < 200""")
+FROM supplier JOIN customer c ON c_nationkey = s_nationkey""")
 def haversine_distance(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
@@ -249,7 +249,7 @@ def ring_geometry(spark, sf):
     return r.select("id", S.rounded(S.ring_area(F.col("ring"))).alias("area"), S.in_ring(x, F.lit(0.25), F.col("ring")).alias("inside"), S.shift_lon(10 * F.col("w") - 120).alias("lon"))
 
 
-@query("""WITH v AS (SELECT DISTINCT o_custkey AS poly, l_partkey % 400 AS vx, l_suppkey % 7 AS vy FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 300)
+@query("""WITH v AS (SELECT DISTINCT o_custkey AS poly, l_partkey % 400 AS vx, l_suppkey % 7 AS vy FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT a.poly AS x, b.poly AS y, count(*) AS n_shared FROM v a JOIN v b ON a.vx = b.vx AND a.vy = b.vy AND a.poly < b.poly GROUP BY 1, 2 HAVING count(*) >= 2""")
 def shared_vertex_pairs(spark, sf):
     """Polygons that share two or more vertices: an equi-join on the vertex."""

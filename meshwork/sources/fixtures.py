@@ -75,7 +75,7 @@ VIEWS = {
         FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "fx_dictionary": """SELECT CAST(o_custkey AS BIGINT) AS territory_id, CAST(o_orderkey AS BIGINT) AS version_key,
         CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS year_from, o_orderpriority AS district_type FROM orders""",
-    "fx_nodes": "SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id < 120",
+    "fx_nodes": "SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS BIGINT) AS label FROM embeddings",
 }
 
 

@@ -33,7 +33,7 @@ def test_louvain_beats_the_given_labels(spark):
 def test_runs_give_whole_partitions(spark):
     for name in ("kmeans_best_of_seeds", "gmm_best", "ward", "spectral"):
         df = registry.queries()[name](spark, SF)
-        assert df.select("id").distinct().count() == df.count() == 120
+        assert df.select("id").distinct().count() == df.count() == 500
 
 
 def test_bounded_statistics(spark):
