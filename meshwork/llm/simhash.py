@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.llm.columns import fresh
 from meshwork.operators.components import connected_components
 from meshwork.session import free_shuffles, materialize, release, small_side, table
 
@@ -41,11 +42,16 @@ BLOCK = 1 << 15
 #: Words of a shingle and Jaccard similarity of near copies.
 NEAR_WIDTH = 5
 SIMILARITY = 0.8
+#: An odd multiplier for the words of a shingle, and shifts and odd factors that mix a hash.
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+MIX = ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53))
 #: Hash buckets whose shingles are counted, and bits of a parity bitmap.
 COUNTED = 1 << 18
 PARITIES = 1024
 #: Members of a bucket that are compared with each other or with another such block in one task.
 NEAR_BLOCK = 512
+#: Pairs of two components that a task compares at first.
+MOST = 8
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -59,11 +65,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if len(words) <= width:
         return digest(b" ".join(words), SEED)
     hashes = np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))), np.uint64, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes) & ((1 << 64) - 1)
 
 
 def _fingerprints(width: int):
@@ -194,13 +196,30 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def shingle_set(text: str | None, width: int = NEAR_WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; fewer words make one shingle, none the hash of the empty text."""
+    """Sorted distinct hashes of the word shingles; fewer words make one shingle, none the hash of the empty text.
+
+    Each word is hashed once; a shingle's hash is a polynomial in its words' hashes, mixed.
+    """
     import xxhash
 
     words = (text or "").encode().lower().split()
     digest = xxhash.xxh64_intdigest
-    parts = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]
-    return np.unique(np.fromiter((digest(s, SEED) for s in parts), np.uint64))
+    own = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    n = max(1, len(own) - width + 1)
+    h = np.full(n, len(own) if len(own) < width else width, np.uint64)
+    for k in range(min(width, len(own))):
+        h = h * MULTIPLIER + own[k : k + n]
+    for shift, factor in MIX:
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits, as a signed long, that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def _counted(width: int):
@@ -237,11 +256,11 @@ def _sketches(width: int, counts: np.ndarray, similarity: float):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                sets = [shingle_set(t.as_py(), width) for t in b.column(1)]
+                sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
                 first = [prefix(s, counts, similarity).view(np.int64) for s in sets]
                 longs = pa.list_(pa.int64())
-                columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, longs), pa.array([parity(s) for s in sets], longs)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "first", "fp"])
+                columns = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, longs), pa.array([parity(s) for s in sets], longs), pa.array([majority(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "first", "bits", "fp"])
 
     return run
 
@@ -260,97 +279,160 @@ def _unshared(similarity: float) -> float:
     return (1 - similarity) / (1 + similarity) + 1e-9
 
 
-def _cross(share: float):
+def _cross(share: float, most: int | None):
+    """Pairs of different parts that may be links: for two parts the ``most`` likeliest, and whether there are more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
+            found = []
             for members in batch.column(0):
                 rows = members.as_py()
-                side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "id", "part", "n"))
-                fp = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+                side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size"))
+                bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+                chosen: dict[tuple[int, int], list] = {}
                 for i in range(len(ids)):
                     later = side > side[i] if side.any() else ids > ids[i]
                     at = np.flatnonzero(later & (part != part[i]) & (np.abs(n - n[i]) <= share * (n + n[i])))
-                    at = at[np.bitwise_count(fp[at] ^ fp[i]).sum(axis=1) <= share * (n[at] + n[i])]
-                    u += [int(min(ids[i], x)) for x in ids[at]]
-                    v += [int(max(ids[i], x)) for x in ids[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
+                    for x, d in zip(at, apart):
+                        if d <= share * (n[x] + n[i]):
+                            a, b = sorted((int(part[i]), int(part[x])))
+                            own = chosen.setdefault((a, b), [])
+                            own.append((d / (n[x] + n[i]), int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
+                            if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
+                                own.sort()
+                                own[most + 1 :] = []
+                for (a, b), own in chosen.items():
+                    own.sort()
+                    more = bool(most) and len(own) > most
+                    found += [(u, v, a, b, more) for _, u, v in own[: most or len(own)]]
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[4] for f in found], pa.bool_())], ["u", "v", "a", "b", "more"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least this Jaccard similarity."""
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = materialize(docs.join(involved, "id", "left_semi").mapInArrow(_sets(width), "id long, s array<long>"))
+def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have at least this Jaccard similarity; ``names`` tells a node's row."""
+    involved = pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct().join(names, "nid")
+    sets = materialize(docs.join(involved, ["id", "digest"]).dropDuplicates(["nid"]).select("nid", "text").mapInArrow(_sets(width), "id long, s array<long>"))
     first = materialize(pairs.join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v"))
     both = first.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u")
     shared = F.size(F.array_intersect("su", "sv"))
     kept = materialize(both.where(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v").distinct())
     release(sets, first)
+    free_shuffles(docs.sparkSession)
     return kept
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the documents that are linked to others; component is the smallest doc_id reachable.
+def _likely(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
+    """The pairs (u, v) whose sizes and parity bitmaps leave room for the similarity."""
+    own = lambda c, k: sketches.select(F.col("nid").alias(c), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
+    joined = pairs.join(own("v", 1), "v").join(own("u", 2), "u")
+    room = F.lit(share) * (F.col("n1") + F.col("n2"))
+    joined = joined.where(F.abs(F.col("n1") - F.col("n2")) <= room)
+    apart = F.aggregate(F.zip_with("b1", "b2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return joined.where(apart <= room).select("u", "v").distinct()
+
 
-    Links are all pairs of shingle sets with a Jaccard similarity of ``similarity`` or more. Candidates share a
-    shingle of their prefixes (``prefix``), which no link can do without; shingles are ordered by the count of
+def golay_pairs(sketches: DataFrame) -> DataFrame:
+    """(u, v): candidate nodes whose SimHash fingerprints differ in at most two bits, as stars.
+
+    Nodes of one fingerprint meet at its smallest node, and fingerprints by ``links``.
+    """
+    nodes = materialize(sketches.groupBy("fp").agg(F.min("nid").alias("first")))
+    same = sketches.select("fp", "nid").join(nodes, "fp").where("nid <> first").select(F.col("first").alias("u"), F.col("nid").alias("v"))
+    met = links(nodes.select("fp"))
+    of = lambda c, x: nodes.select(F.col("fp").alias(c), F.col("first").alias(x))
+    ends = met.join(of("u", "x"), "u").join(of("v", "y"), "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return same.union(ends)
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, digest, component) of the rows that are linked to others; component is the smallest id reachable.
+
+    A row is known by its id and the SHA-256 of its text, so texts that share an id are apart. Links are all
+    pairs of shingle sets with a Jaccard similarity of ``similarity`` or more. Candidates are, first,
+    ``golay_pairs``; and then, since links may differ in more bits than a code decodes, those that share a
+    shingle of their prefixes (``prefix``), which no link can do without. Shingles are ordered by the count of
     their hash bucket, so that common ones come last and are keys of few documents. Candidates whose sizes or parity bitmaps
-    show more unshared shingles than a link can have are dropped; the others are verified. No step is probabilistic.
+    show more unshared shingles than a link can have are dropped; the others are verified. No step is probabilistic
+    but for collisions of 64-bit hashes.
 
-    Members of a bucket are first held against its smallest id; then, since links within a component change nothing, only
-    members of different components are compared, in blocks. Texts without words are alike; rows without an id are not read.
+    Members of a bucket are first held against its smallest node; then, since links within a component change nothing, only
+    members of different components are compared, in blocks, and of two components the likeliest pairs first. Texts
+    without words are alike; rows without an id are not read.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(text).alias("text")).where("id IS NOT NULL")
     counts = np.zeros(COUNTED, np.int64)
     for r in rows.select("text").mapInArrow(_counted(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.bucket] = r.n
-    sketches = materialize(rows.mapInArrow(_sketches(width, counts, similarity), "id long, n long, first array<long>, fp array<long>"))
-    keyed = sketches.select("id", F.explode("first").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v")).where("n > 1 AND u <> v")
+    sketched = rows.mapInArrow(_sketches(width, counts, similarity), "id long, digest binary, size long, first array<long>, bits array<long>, fp long")
+    sketches = materialize(sketched.withColumn("nid", F.monotonically_increasing_id()))  # written once, so the numbers are fixed
+    names = sketches.select("nid", "id", "digest")
+    keyed = sketches.select("nid", F.explode("first").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("u"), F.max("nid").alias("v")).where("n > 1")
     buckets = materialize(buckets)
     larger = buckets.where("n > 2").select("key", "n", "u")
     members = materialize(keyed.join(small_side(larger), "key"))
-    free_shuffles(docs.sparkSession)
-    pairs = buckets.where("n = 2").select("u", "v").union(members.where("id <> u").select("u", F.col("id").alias("v"))).distinct()
+    free_shuffles(spark)
+    stars = buckets.where("n = 2").select("u", "v").union(members.where("nid <> u").select("u", F.col("nid").alias("v")))
     share = _unshared(similarity)
-    fps = sketches.select("id", F.col("n").alias("size"), "fp")
-    joined = pairs.join(fps.select(F.col("id").alias("v"), F.col("size").alias("nv"), F.col("fp").alias("fv")), "v")
-    joined = joined.join(fps.select(F.col("id").alias("u"), F.col("size").alias("nu"), F.col("fp").alias("fu")), "u")
-    most = F.lit(share) * (F.col("nu") + F.col("nv"))
-    joined = joined.where(F.abs(F.col("nu") - F.col("nv")) <= most)
-    differing = F.aggregate(F.zip_with("fu", "fv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    pairs = materialize(joined.where(differing <= most).select("u", "v").distinct())
-    edges = _verified(pairs, rows, similarity, width)
+    pairs = materialize(_likely(stars.union(golay_pairs(sketches)).distinct(), sketches, share))
+    edges = _verified(pairs, rows, names, similarity, width)
     release(buckets, pairs)
     parts = materialize(connected_components(edges))
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("part"))
-    placed = materialize(placed)
-    release(members)
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-    blocks = F.ceil(F.col("n") / NEAR_BLOCK)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    left = placed.join(materialize(open_keys), "key", "left_semi").withColumn("mine", mine)
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(fps, "id")
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "id", "part", F.col("size").alias("n"), "fp")
-    met = left.groupBy("key", low.alias("low"), high.alias("high")).agg(F.sort_array(F.collect_set(member)).alias("rows"))
-    # the same few members mostly meet under several keys
-    met = met.where(F.size("rows") > 1).select("rows").distinct()
-    more = materialize(met.mapInArrow(_cross(share), "u long, v long").distinct())
-    if more.isEmpty():
-        return parts
-    return connected_components(edges.union(_verified(more, rows, similarity, width)))
+
+    def open_members(parts: DataFrame) -> DataFrame:
+        """Rows (key, n, nid, part) of the buckets whose members are in different components."""
+        placed = members.join(parts.withColumnRenamed("node", "nid"), "nid", "left").select("key", "n", "nid", F.coalesce("component", "nid").alias("part"))
+        placed = materialize(placed)
+        apart = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+        return placed.join(materialize(apart), "key", "left_semi")
+
+    def crossed(parts: DataFrame, most: int | None) -> DataFrame:
+        blocks = F.ceil(F.col("n") / NEAR_BLOCK)
+        left = open_members(parts).withColumn("mine", F.pmod(F.xxhash64("nid"), blocks))
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(sketches.select("nid", "size", "bits"), "nid")
+        low, high = F.least("mine", "other"), F.greatest("mine", "other")
+        member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "nid", "part", "size", "bits")
+        met = left.groupBy("key", low.alias("low"), high.alias("high")).agg(F.sort_array(F.collect_set(member)).alias("rows"))
+        # the same few members mostly meet under several keys
+        met = met.where(F.size("rows") > 1).select("rows").distinct()
+        return materialize(met.mapInArrow(_cross(share, most), "u long, v long, a long, b long, more boolean").distinct())
+
+    more = crossed(parts, MOST)
+    if not more.isEmpty():
+        edges = materialize(edges.union(_verified(more.select("u", "v").distinct(), rows, names, similarity, width)))
+        parts = materialize(connected_components(edges))
+        left = more.where("more").select("a", "b").distinct()
+        now = lambda c, x: parts.select(F.col("node").alias(c), F.col("component").alias(x))
+        left = left.join(now("a", "x"), "a", "left").join(now("b", "y"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
+        if left.limit(1).count():  # many candidates between two components, and the likeliest were no links: all of them
+            rest = crossed(parts, None).select("u", "v").distinct()
+            parts = materialize(connected_components(edges.union(_verified(rest, rows, names, similarity, width))))
+    placed = parts.withColumnRenamed("node", "nid").join(names, "nid")
+    least = placed.groupBy("component").agg(F.min("id").alias("least"))
+    return placed.join(least, "component").select("id", "digest", F.col("least").alias("component"))
+
+
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component): the ids of ``near_groups`` and the smallest id reachable from the row."""
+    return near_groups(docs, doc_id, text, width, similarity).select(F.col("id").alias("node"), "component").distinct()
 
 
 def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each of ``near_components`` the rows with the smallest id, with their columns.
+    """The rows of ``docs`` without near copies: of each of ``near_groups`` the rows with the smallest id, with their columns.
 
-    Rows without an id stay. Rows that repeat the smallest id stay together.
+    Rows without an id stay, and so do near copies that share the smallest id. Another text with the id of a row
+    that goes is judged on its own. Any other columns may be there, whatever their names.
     """
-    found = near_components(docs, doc_id, text).where("node <> component").select(F.col("node").alias("_id"))
-    return docs.join(found, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    found = materialize(near_groups(docs, doc_id, text).where("id <> component").select("id", "digest").distinct())
+    gone_id, gone_digest, digest = fresh(docs, "gone_id", "gone_digest", "digest")
+    found = small_side(found.select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest)))
+    known = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return known.join(found, (F.col(doc_id).cast("long") == F.col(gone_id)) & (F.col(digest) == F.col(gone_digest)), "left_anti").select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

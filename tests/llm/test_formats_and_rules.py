@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tests_llm_shared import brute_rules
 
 from meshwork.llm import chat_format, importance, license_scan, quality_rules, source_mixing, url_filter
+from meshwork.session import materialize
 
 
 # ---- quality rules
@@ -193,34 +195,78 @@ def test_chat_rotation(spark):
 # ---- source mixing
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 1.0}])
+SIZES = {"a": 900, "b": 400, "c": 37, None: 5}
+MIXED = [(i, "t", s) for i, s in enumerate(s for s, n in SIZES.items() for _ in range(n))] + [(3, "t", "a"), (None, "t", "a"), (None, "u", "a")]
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 1.0}, {"a": 0.998, "b": 0.001, "c": 0.001}, {"a": 0, "b": 1, "c": 3}, {"b": Fraction(1, 3), "c": 2 / 3, "not there": 0.5}])
 def test_pfair_deviation_below_one_block(frame, weights):
-    sizes = {"a": 900, "b": 400, "c": 37, None: 5}
-    rows = [(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(3, "t", "a"), (None, "t", "a")]
-    got = source_mixing.mix(frame(rows), weights, slots=40, block=4).collect()
-    assert len(got) == len(rows)
-    assert len({(r.slot, r.place) for r in got}) == len(rows)
-    one = source_mixing.period(source_mixing.tickets(frame(rows).groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n")), weights, 40)).collect()
-    assert sorted(p for r in one for p in r.places) == list(range(40))
+    """After any number of slots, against the target weights themselves."""
+    got = source_mixing.mix(frame(MIXED), weights, slots=40, block=4).collect()
+    assert len(got) == len(MIXED)
+    assert len({(r.slot, r.place) for r in got}) == len(MIXED)
+    n = {"a": 903, "b": 400, "c": 37, "": 5}
+    if weights is None:
+        targets = {r.source: Fraction(r.tickets, r.slots) for r in source_mixing.tickets(frame(MIXED).groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n")), None, 40).collect()}
+        assert sum(targets.values()) == 1 and all(abs(float(t) - math.sqrt(n[s]) / sum(map(math.sqrt, n.values()))) < 2 / 40 for s, t in targets.items())
+    else:
+        targets = {s: Fraction(w).limit_denominator(1000) for s, w in weights.items() if s in n}
+        targets = {s: w / sum(targets.values()) for s, w in targets.items()}
     blocks = {r.slot: r.source for r in got}
-    last = defaultdict(int)
-    for r in got:
-        last[r.source] = max(last[r.source], r.slot)
-    for r in one:
-        share = Fraction(r.tickets, 40)
+    last = {s: max(r.slot for r in got if r.source == s) for s in n}
+    paid = [s for s in n if targets.get(s)]
+    for s in paid:
         seen = 0
-        for t in range(last[r.source] + 1):
-            seen += blocks.get(t) == r.source
-            assert abs(share * (t + 1) - seen) < 1
-        assert len(r.places) == r.tickets
+        for t in range(last[s] + 1):
+            seen += blocks.get(t) == s
+            assert abs(targets[s] * (t + 1) - seen) < 1
+    end = max(last[s] for s in paid)
+    assert all(r.slot > end for r in got if r.source not in paid)
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: (r.slot, r.place)):
         by[r.source].append(-1 if r.doc_id is None else r.doc_id)
     assert all(v == sorted(v) for v in by.values())
 
 
+def test_weights_must_have_a_schedule(frame):
+    with pytest.raises(ValueError):
+        source_mixing.whole({"a": -1})
+    with pytest.raises(ValueError):
+        source_mixing.whole({"a": 0.123457, "b": 0.345679, "c": 0.56789 / 7, "d": math.pi / 11})
+    assert source_mixing.whole({"a": 0.5, "b": Fraction(1, 4), "c": 0}) == {"a": 2, "b": 1, "c": 0}
+    assert source_mixing.whole({}) == {}
+
+
 def test_mixing_edges(frame):
     assert source_mixing.mix(frame([])).count() == 0
     many = [(i, "t", f"s{i}") for i in range(300)]
     got = source_mixing.mix(frame(many), slots=64, block=2).collect()
     assert len({r.slot for r in got}) == 300
+
+
+def test_many_sources_by_bundles(frame):
+    """More sources than one schedule holds: one slot for each block, and less than two blocks from the targets."""
+    rows = [(100 * i + j, "t", f"s{i:03}") for i in range(90) for j in range(1 + i % 37)]
+    df = frame(rows)
+    shares = source_mixing.tickets(df.groupBy("source").agg(F.count(F.lit(1)).alias("n")), None, 512)
+    plan = {r.source: (r.tickets, r.places) for r in source_mixing.period(shares, 1, wide=10).collect()}
+    assert sorted(p for _, places in plan.values() for p in places) == list(range(512))
+    for n, places in plan.values():
+        assert len(places) == n and all(abs(Fraction(n, 512) * (t + 1) - sum(p <= t for p in places)) < 2 for t in range(512))
+
+
+@pytest.mark.parametrize("many", [100_000, 0])
+def test_files_in_mixed_order(spark, frame, many, monkeypatch):
+    """With clashing columns, ids that repeat or lack, and either way of placing rows."""
+    monkeypatch.setattr(source_mixing, "MANY", many)
+    df = frame(MIXED).withColumns({"at": F.lit(1), "slot": F.lit("x"), "_at": F.lit(2), "rank": F.lit(0), "plan": F.lit(1), "Place": F.lit(4), "KEY": F.lit(5)})
+    laid = materialize(source_mixing.in_mixed_order(df))
+    assert laid.columns == df.columns and laid.count() == len(MIXED)
+    have = laid.select("doc_id", "source", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()
+    want = source_mixing.mix(df).orderBy("slot", "place").collect()
+    if many:
+        assert [(r.doc_id, r.source or "") for r in have] == [(r.doc_id, r.source) for r in want]
+    else:  # rows of one id have one slot here
+        assert Counter((r.doc_id, r.source or "") for r in have) == Counter((r.doc_id, r.source) for r in want)
+        unique = Counter(r.doc_id for r in have)
+        assert [r.doc_id for r in have if unique[r.doc_id] == 1] == [r.doc_id for r in want if unique[r.doc_id] == 1]
