@@ -45,9 +45,9 @@ SIMILARITY = 0.8
 #: An odd multiplier for the words of a shingle, and shifts and odd factors that mix a hash.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53))
-#: Hash buckets whose shingles are counted, and bits of a parity bitmap.
+#: Hash buckets whose shingles are counted, and most bits of a parity bitmap.
 COUNTED = 1 << 18
-PARITIES = 1024
+PARITIES = 1 << 17
 #: Members of a bucket that are compared with each other or with another such block in one task.
 NEAR_BLOCK = 512
 #: Pairs of two components that a task compares at first.
@@ -246,11 +246,20 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARIT
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """Whether an odd number of hashes falls on each bit: two sets have as many unshared hashes as differing bits, or more."""
-    odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1
+    """Whether an odd number of hashes falls on each bit: two sets have as many unshared hashes as differing bits, or more.
+
+    There are four to eight bits for each hash, 64 at least and ``PARITIES`` at most; ``halved`` bitmaps are those of half as many bits.
+    """
+    bits = min(PARITIES, max(64, 1 << (4 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def halved(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
 def _sketches(width: int, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -268,8 +277,8 @@ def _sketches(width: int, counts: np.ndarray, similarity: float):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t.as_py(), width).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
+            found = [shingle_set(t.as_py(), width).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "digest", "s"])
 
     return run
 
@@ -288,20 +297,27 @@ def _cross(share: float, most: int | None):
             for members in batch.column(0):
                 rows = members.as_py()
                 side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size"))
-                bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+                bits = [np.array(r["bits"], np.int64).view(np.uint64) for r in rows]
+                wide = np.array([len(x) for x in bits])
                 chosen: dict[tuple[int, int], list] = {}
-                for i in range(len(ids)):
-                    later = side > side[i] if side.any() else ids > ids[i]
-                    at = np.flatnonzero(later & (part != part[i]) & (np.abs(n - n[i]) <= share * (n + n[i])))
-                    apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-                    for x, d in zip(at, apart):
-                        if d <= share * (n[x] + n[i]):
-                            a, b = sorted((int(part[i]), int(part[x])))
-                            own = chosen.setdefault((a, b), [])
-                            own.append((d / (n[x] + n[i]), int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
-                            if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
-                                own.sort()
-                                own[most + 1 :] = []
+                for w in np.unique(wide):
+                    # bitmaps of this width meet each other and, halved, those of twice the width
+                    level = np.flatnonzero((wide == w) | (wide == 2 * w))
+                    matrix = np.stack([bits[i] if wide[i] == w else halved(bits[i]) for i in level])
+                    for row, i in enumerate(level):
+                        later = side[level] > side[i] if side.any() else ids[level] > ids[i]
+                        room = share * (n[level] + n[i])
+                        own_width = (wide[level] == w) | (wide[i] == w)
+                        at = np.flatnonzero(later & own_width & (part[level] != part[i]) & (np.abs(n[level] - n[i]) <= room))
+                        apart = np.bitwise_count(matrix[at] ^ matrix[row]).sum(axis=1)
+                        for x, d in zip(level[at], apart):
+                            if d <= share * (n[x] + n[i]):
+                                a, b = sorted((int(part[i]), int(part[x])))
+                                own = chosen.setdefault((a, b), [])
+                                own.append((d / (n[x] + n[i]), int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
+                                if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
+                                    own.sort()
+                                    own[most + 1 :] = []
                 for (a, b), own in chosen.items():
                     own.sort()
                     more = bool(most) and len(own) > most
@@ -314,13 +330,15 @@ def _cross(share: float, most: int | None):
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (u, v) of nodes whose shingle sets have at least this Jaccard similarity; ``names`` tells a node's row."""
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct().join(names, "nid")
-    sets = materialize(docs.join(involved, ["id", "digest"]).dropDuplicates(["nid"]).select("nid", "text").mapInArrow(_sets(width), "id long, s array<long>"))
-    first = materialize(pairs.join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v"))
-    both = first.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u")
+    involved = materialize(pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct().join(names, "nid"))
+    texts = docs.join(small_side(involved.select("id", "digest").distinct()), ["id", "digest"], "left_semi")
+    own = materialize(texts.select("id", "digest", "text").mapInArrow(_sets(width), "id long, digest binary, s array<long>"))
+    sets = materialize(own.dropDuplicates(["id", "digest"]).join(involved, ["id", "digest"]).select("nid", "s"))
+    first = materialize(pairs.join(sets.select(F.col("nid").alias("v"), F.col("s").alias("sv")), "v"))
+    both = first.join(sets.select(F.col("nid").alias("u"), F.col("s").alias("su")), "u")
     shared = F.size(F.array_intersect("su", "sv"))
     kept = materialize(both.where(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v").distinct())
-    release(sets, first)
+    release(involved, own, sets, first)
     free_shuffles(docs.sparkSession)
     return kept
 
@@ -331,8 +349,11 @@ def _likely(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     joined = pairs.join(own("v", 1), "v").join(own("u", 2), "u")
     room = F.lit(share) * (F.col("n1") + F.col("n2"))
     joined = joined.where(F.abs(F.col("n1") - F.col("n2")) <= room)
+    half = lambda b: F.zip_with(F.slice(b, 1, (F.size(b) / 2).cast("int")), F.slice(b, (F.size(b) / 2).cast("int") + 1, (F.size(b) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    narrowed = lambda a, b: F.when(F.size(a) > F.size(b), half(F.col(a))).otherwise(F.col(a))
+    joined = joined.withColumns({"b1": narrowed("b1", "b2"), "b2": narrowed("b2", "b1")})
     apart = F.aggregate(F.zip_with("b1", "b2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return joined.where(apart <= room).select("u", "v").distinct()
+    return joined.where((F.size("b1") != F.size("b2")) | (apart <= room)).select("u", "v").distinct()
 
 
 def golay_pairs(sketches: DataFrame) -> DataFrame:
