@@ -124,24 +124,17 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
 
 
 def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", domain: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns.
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns, whatever these are named.
 
-    The document rules are computed again beside the text rather than joined
-    to it by id, so no text is shuffled and repeated ids need no care.
+    The document rules are worked out once, beside the rows. Rows that fail are written without their
+    columns, the others whole; the host rates come from what is written, and then decide on the others.
     """
-    clash = {"words", "n_words", "n_repeat_words", "_failed", "_host"} & set(docs.columns)
-    kept = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    whole = F.col(f"_own_{text}" if text in clash else text)
-    host = F.col(f"_own_{domain}" if domain in clash else domain)
-    failed = document_rules(docs, doc_id, text, domain).select("domain", "base_failed")
-    # The rules meet the rows as a join key. As a filter they would be pushed down through the steps that
-    # work them out, and each step's expression would be copied into the next.
-    hosts = host_verdicts(failed, max_rate).where("not host_rejected").select(F.col("domain").alias("_host"), F.lit(False).alias("_failed"))
-    hosts = small_side(materialize(hosts))
-    kept = with_repeat_words(kept.withColumn("words", words_of(whole))).withColumn("n_words", F.size("words"))
-    kept = kept.withColumn("_failed", F.coalesce(base_failed(), F.lit(True))).withColumn("_host", F.coalesce(host.cast("string"), F.lit("")))
-    kept = kept.join(hosts, ["_host", "_failed"], "left_semi").select(*[f"_own_{c}" if c in clash else c for c in docs.columns])
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash})
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(domain).cast("string"), F.lit("")).alias("domain"))
+    rows = with_repeat_words(rows.withColumn("words", words_of(F.col("text")))).withColumn("n_words", F.size("words"))
+    rows = rows.withColumn("base_failed", F.coalesce(base_failed(), F.lit(True)))
+    rows = materialize(rows.select("domain", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")))
+    hosts = small_side(materialize(host_verdicts(rows, max_rate).where("not host_rejected").select("domain")))
+    return rows.where("not base_failed").join(hosts, "domain", "left_semi").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

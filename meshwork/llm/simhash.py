@@ -248,18 +248,13 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARIT
 def parity(hashes: np.ndarray) -> np.ndarray:
     """Whether an odd number of hashes falls on each bit: two sets have as many unshared hashes as differing bits, or more.
 
-    There are four to eight bits for each hash, 64 at least and ``PARITIES`` at most; ``halved`` bitmaps are those of half as many bits.
+    There are four to eight bits for each hash, 64 at least and ``PARITIES`` at most; the two halves of a bitmap, by exclusive or, make that of half as many bits.
     """
     bits = min(PARITIES, max(64, 1 << (4 * len(hashes) - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def halved(bits: np.ndarray) -> np.ndarray:
-    half = bits.shape[-1] // 2
-    return bits[..., :half] ^ bits[..., half:]
-
-
 def _sketches(width: int, counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -288,36 +283,33 @@ def _unshared(similarity: float) -> float:
     return (1 - similarity) / (1 + similarity) + 1e-9
 
 
-def _cross(share: float, most: int | None):
-    """Pairs of different parts that may be links: for two parts the ``most`` likeliest, and whether there are more."""
+def _cross(similarity: float, most: int | None):
+    """Pairs of different parts that may be links by sizes and places: for two parts the ``most`` likeliest, and whether there are more.
+
+    If the first shingle that two sets share has places i and j in their orders, they share at most one more than the
+    lesser of what comes after. Of a link's common shingles the first one passes this, so no link is lost.
+    """
+    share, least = _unshared(similarity), similarity / (1 + similarity) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for members in batch.column(0):
                 rows = members.as_py()
-                side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size"))
-                bits = [np.array(r["bits"], np.int64).view(np.uint64) for r in rows]
-                wide = np.array([len(x) for x in bits])
+                side, ids, part, n, place = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size", "place"))
                 chosen: dict[tuple[int, int], list] = {}
-                for w in np.unique(wide):
-                    # bitmaps of this width meet each other and, halved, those of twice the width
-                    level = np.flatnonzero((wide == w) | (wide == 2 * w))
-                    matrix = np.stack([bits[i] if wide[i] == w else halved(bits[i]) for i in level])
-                    for row, i in enumerate(level):
-                        later = side[level] > side[i] if side.any() else ids[level] > ids[i]
-                        room = share * (n[level] + n[i])
-                        own_width = (wide[level] == w) | (wide[i] == w)
-                        at = np.flatnonzero(later & own_width & (part[level] != part[i]) & (np.abs(n[level] - n[i]) <= room))
-                        apart = np.bitwise_count(matrix[at] ^ matrix[row]).sum(axis=1)
-                        for x, d in zip(level[at], apart):
-                            if d <= share * (n[x] + n[i]):
-                                a, b = sorted((int(part[i]), int(part[x])))
-                                own = chosen.setdefault((a, b), [])
-                                own.append((d / (n[x] + n[i]), int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
-                                if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
-                                    own.sort()
-                                    own[most + 1 :] = []
+                for i in range(len(ids)):
+                    later = side > side[i] if side.any() else ids > ids[i]
+                    at = np.flatnonzero(later & (part != part[i]) & (np.abs(n - n[i]) <= share * (n + n[i])))
+                    both = n[at] + n[i]
+                    room = np.minimum(n[at] - place[at], n[i] - place[i]) / both
+                    for x, r in zip(at[room >= least], room[room >= least]):
+                        a, b = sorted((int(part[i]), int(part[x])))
+                        own = chosen.setdefault((a, b), [])
+                        own.append((-r, int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
+                        if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
+                            own.sort()
+                            own[most + 1 :] = []
                 for (a, b), own in chosen.items():
                     own.sort()
                     more = bool(most) and len(own) > most
@@ -381,7 +373,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     but for collisions of 64-bit hashes.
 
     Members of a bucket are first held against its smallest node; then, since links within a component change nothing, only
-    members of different components are compared, in blocks, and of two components the likeliest pairs first. Texts
+    members of different components are compared, in blocks by their sizes and the shingle's places, and of two components the likeliest pairs first. Texts
     without words are alike; rows without an id are not read.
     """
     spark = docs.sparkSession
@@ -392,47 +384,51 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     sketched = rows.mapInArrow(_sketches(width, counts, similarity), "id long, digest binary, size long, first array<long>, bits array<long>, fp long")
     sketches = materialize(sketched.withColumn("nid", F.monotonically_increasing_id()))  # written once, so the numbers are fixed
     names = sketches.select("nid", "id", "digest")
-    keyed = sketches.select("nid", F.explode("first").alias("key"))
+    keyed = sketches.select("nid", "size", F.posexplode("first").alias("place", "key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("u"), F.max("nid").alias("v")).where("n > 1")
     buckets = materialize(buckets)
     larger = buckets.where("n > 2").select("key", "n", "u")
     members = materialize(keyed.join(small_side(larger), "key"))
     free_shuffles(spark)
     stars = buckets.where("n = 2").select("u", "v").union(members.where("nid <> u").select("u", F.col("nid").alias("v")))
+    bitmaps = sketches.select("nid", "size", "bits")
     share = _unshared(similarity)
-    pairs = materialize(_likely(stars.union(golay_pairs(sketches)).distinct(), sketches, share))
+    pairs = materialize(_likely(stars.union(golay_pairs(sketches)).distinct(), bitmaps, share))
     edges = _verified(pairs, rows, names, similarity, width)
     release(buckets, pairs)
     parts = materialize(connected_components(edges))
 
-    def open_members(parts: DataFrame) -> DataFrame:
-        """Rows (key, n, nid, part) of the buckets whose members are in different components."""
-        placed = members.join(parts.withColumnRenamed("node", "nid"), "nid", "left").select("key", "n", "nid", F.coalesce("component", "nid").alias("part"))
-        placed = materialize(placed)
-        apart = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-        return placed.join(materialize(apart), "key", "left_semi")
-
     def crossed(parts: DataFrame, most: int | None) -> DataFrame:
+        """Pairs (u, v) of the components (a, b), from the buckets whose members are in different ones, and whether there are ``more``."""
+        placed = members.join(parts.withColumnRenamed("node", "nid"), "nid", "left").select("key", "n", "nid", "size", "place", F.coalesce("component", "nid").alias("part"))
+        placed = materialize(placed)
+        apart = materialize(placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key"))
         blocks = F.ceil(F.col("n") / NEAR_BLOCK)
-        left = open_members(parts).withColumn("mine", F.pmod(F.xxhash64("nid"), blocks))
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(sketches.select("nid", "size", "bits"), "nid")
+        left = placed.join(small_side(apart), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("nid"), blocks))
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "nid", "part", "size", "bits")
+        member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "nid", "part", "size", "place")
         met = left.groupBy("key", low.alias("low"), high.alias("high")).agg(F.sort_array(F.collect_set(member)).alias("rows"))
+        found = met.where(F.size("rows") > 1).select("rows").mapInArrow(_cross(similarity, most), "u long, v long, a long, b long, more boolean")
         # the same few members mostly meet under several keys
-        met = met.where(F.size("rows") > 1).select("rows").distinct()
-        return materialize(met.mapInArrow(_cross(share, most), "u long, v long, a long, b long, more boolean").distinct())
+        found = materialize(found.groupBy("u", "v", "a", "b").agg(F.max("more").alias("more")))
+        release(placed, apart)
+        free_shuffles(spark)
+        return found
+
+    def checked(found: DataFrame) -> DataFrame:
+        likely = materialize(_likely(found.select("u", "v").distinct(), bitmaps, share))
+        return _verified(likely, rows, names, similarity, width)
 
     more = crossed(parts, MOST)
     if not more.isEmpty():
-        edges = materialize(edges.union(_verified(more.select("u", "v").distinct(), rows, names, similarity, width)))
+        edges = materialize(edges.union(checked(more)))
         parts = materialize(connected_components(edges))
         left = more.where("more").select("a", "b").distinct()
         now = lambda c, x: parts.select(F.col("node").alias(c), F.col("component").alias(x))
         left = left.join(now("a", "x"), "a", "left").join(now("b", "y"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
         if left.limit(1).count():  # many candidates between two components, and the likeliest were no links: all of them
-            rest = crossed(parts, None).select("u", "v").distinct()
-            parts = materialize(connected_components(edges.union(_verified(rest, rows, names, similarity, width))))
+            parts = materialize(connected_components(edges.union(checked(crossed(parts, None)))))
     placed = parts.withColumnRenamed("node", "nid").join(names, "nid")
     least = placed.groupBy("component").agg(F.min("id").alias("least"))
     return placed.join(least, "component").select("id", "digest", F.col("least").alias("component"))
