@@ -22,7 +22,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshwork.session import materialize, release, shared_folder, table
+from meshwork.llm.columns import fresh
+from meshwork.session import materialize, release, shared_folder, small_side, table
 
 #: What normalisation deletes: space and the characters 9 to 13.
 WHITE = " \t\n\x0b\f\r"
@@ -136,22 +137,21 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
 
 
 def keep_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns, whatever these are named.
 
     Of rows that repeat id and text, one stays.
     """
     decided = materialize(exact_dedup(docs, doc_id, text))
     dropped = decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("stay")).where("stay < n")
-    dropped = materialize(dropped)
-    digest = F.sha2(normalised(F.col(text)), 256)
-    out = docs.withColumn("_digest", digest)
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone"))
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone"))
-    kept = out.join(gone, same, "left_anti").select(*docs.columns)
-    again = dropped.where("stay > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone"))
+    digest, gone_id, gone, nth = fresh(docs, "digest", "gone_id", "gone", "nth")
+    dropped = materialize(dropped.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone), "stay"))
+    out = docs.withColumn(digest, F.sha2(normalised(F.col(text)), 256))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone))
+    kept = out.join(small_side(dropped.drop("stay")), same, "left_anti").select(*docs.columns)
+    again = dropped.where("stay > 0").drop("stay")
     if again.limit(1).count():  # rows that repeat an id as well; the one with the longest text of them stays
-        first = Window.partitionBy(F.col(doc_id).cast("long"), "_digest").orderBy(F.char_length(F.col(text)).desc(), F.col(text))
-        ones = out.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+        first = Window.partitionBy(F.col(doc_id).cast("long"), digest).orderBy(F.char_length(F.col(text)).desc(), F.col(text))
+        ones = out.join(small_side(again), same, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
         kept = kept.unionByName(ones.select(*docs.columns))
     return kept
 

@@ -46,7 +46,7 @@ SIMILARITY = 0.8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53))
 #: Hash buckets whose shingles are counted, and most bits of a parity bitmap.
-COUNTED = 1 << 18
+COUNTED = 1 << 20
 PARITIES = 1 << 17
 #: Members of a bucket that are compared with each other or with another such block in one task.
 NEAR_BLOCK = 512
@@ -248,11 +248,23 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float = SIMILARIT
 def parity(hashes: np.ndarray) -> np.ndarray:
     """Whether an odd number of hashes falls on each bit: two sets have as many unshared hashes as differing bits, or more.
 
-    There are four to eight bits for each hash, 64 at least and ``PARITIES`` at most; the two halves of a bitmap, by exclusive or, make that of half as many bits.
+    There are one to two bits for each hash, 64 at least and ``PARITIES`` at most.
     """
-    bits = min(PARITIES, max(64, 1 << (4 * len(hashes) - 1).bit_length()))
+    bits = min(PARITIES, max(64, 1 << (len(hashes) - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """The bitmaps of half as many bits."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def narrowed(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[-1] > width:
+        bits = halved(bits)
+    return bits
 
 
 def _sketches(width: int, counts: np.ndarray, similarity: float):
@@ -263,7 +275,7 @@ def _sketches(width: int, counts: np.ndarray, similarity: float):
                 sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
                 first = [prefix(s, counts, similarity).view(np.int64) for s in sets]
                 longs = pa.list_(pa.int64())
-                columns = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, longs), pa.array([parity(s) for s in sets], longs), pa.array([majority(s) for s in sets], pa.int64())]
+                columns = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, longs), pa.array([parity(s).tobytes() for s in sets], pa.binary()), pa.array([majority(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "first", "bits", "fp"])
 
     return run
@@ -283,33 +295,35 @@ def _unshared(similarity: float) -> float:
     return (1 - similarity) / (1 + similarity) + 1e-9
 
 
-def _cross(similarity: float, most: int | None):
-    """Pairs of different parts that may be links by sizes and places: for two parts the ``most`` likeliest, and whether there are more.
-
-    If the first shingle that two sets share has places i and j in their orders, they share at most one more than the
-    lesser of what comes after. Of a link's common shingles the first one passes this, so no link is lost.
-    """
-    share, least = _unshared(similarity), similarity / (1 + similarity) - 1e-9
+def _cross(share: float, most: int | None):
+    """Pairs of different parts that may be links by sizes and bitmaps: for two parts the ``most`` likeliest, and whether there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for members in batch.column(0):
                 rows = members.as_py()
-                side, ids, part, n, place = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size", "place"))
+                side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size"))
+                bits = [np.frombuffer(r["bits"], np.uint64) for r in rows]
+                wide = np.array([len(x) for x in bits])
                 chosen: dict[tuple[int, int], list] = {}
-                for i in range(len(ids)):
-                    later = side > side[i] if side.any() else ids > ids[i]
-                    at = np.flatnonzero(later & (part != part[i]) & (np.abs(n - n[i]) <= share * (n + n[i])))
-                    both = n[at] + n[i]
-                    room = np.minimum(n[at] - place[at], n[i] - place[i]) / both
-                    for x, r in zip(at[room >= least], room[room >= least]):
-                        a, b = sorted((int(part[i]), int(part[x])))
-                        own = chosen.setdefault((a, b), [])
-                        own.append((-r, int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
-                        if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
-                            own.sort()
-                            own[most + 1 :] = []
+                for w in np.unique(wide):
+                    # bitmaps of this width meet each other and, narrowed, the wider ones
+                    level = np.flatnonzero(wide >= w)
+                    level = level[n[level] * (1 - share) <= n[wide == w].max() * (1 + share) + 1]
+                    matrix = np.stack([narrowed(bits[i], w) for i in level])
+                    for row, i in enumerate(level):
+                        later = side[level] > side[i] if side.any() else ids[level] > ids[i]
+                        here = (wide[level] == w) | (wide[i] == w)
+                        at = np.flatnonzero(later & here & (part[level] != part[i]) & (np.abs(n[level] - n[i]) <= share * (n[level] + n[i])))
+                        apart = np.bitwise_count(matrix[at] ^ matrix[row]).sum(axis=1) / (n[level[at]] + n[i])
+                        for x, d in zip(level[at][apart <= share], apart[apart <= share]):
+                            a, b = sorted((int(part[i]), int(part[x])))
+                            own = chosen.setdefault((a, b), [])
+                            own.append((d, int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
+                            if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
+                                own.sort()
+                                own[most + 1 :] = []
                 for (a, b), own in chosen.items():
                     own.sort()
                     more = bool(most) and len(own) > most
@@ -335,17 +349,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: f
     return kept
 
 
+def _near_bits(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, keep = b.column(2).to_numpy() + b.column(3).to_numpy(), []
+            for x, y, both in zip(b.column(4), b.column(5), n):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                w = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(narrowed(x, w) ^ narrowed(y, w)).sum()) <= share * both)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     """The pairs (u, v) whose sizes and parity bitmaps leave room for the similarity."""
     own = lambda c, k: sketches.select(F.col("nid").alias(c), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
-    joined = pairs.join(own("v", 1), "v").join(own("u", 2), "u")
-    room = F.lit(share) * (F.col("n1") + F.col("n2"))
-    joined = joined.where(F.abs(F.col("n1") - F.col("n2")) <= room)
-    half = lambda b: F.zip_with(F.slice(b, 1, (F.size(b) / 2).cast("int")), F.slice(b, (F.size(b) / 2).cast("int") + 1, (F.size(b) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
-    narrowed = lambda a, b: F.when(F.size(a) > F.size(b), half(F.col(a))).otherwise(F.col(a))
-    joined = joined.withColumns({"b1": narrowed("b1", "b2"), "b2": narrowed("b2", "b1")})
-    apart = F.aggregate(F.zip_with("b1", "b2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return joined.where((F.size("b1") != F.size("b2")) | (apart <= room)).select("u", "v").distinct()
+    sized = pairs.join(own("v", 1).drop("b1"), "v").join(own("u", 2).drop("b2"), "u").where(F.abs(F.col("n1") - F.col("n2")) <= F.lit(share) * (F.col("n1") + F.col("n2")))
+    joined = sized.join(own("v", 1).drop("n1"), "v").join(own("u", 2).drop("n2"), "u")
+    return joined.select("u", "v", "n1", "n2", "b1", "b2").mapInArrow(_near_bits(share), "u long, v long")
 
 
 def golay_pairs(sketches: DataFrame) -> DataFrame:
@@ -373,22 +395,22 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     but for collisions of 64-bit hashes.
 
     Members of a bucket are first held against its smallest node; then, since links within a component change nothing, only
-    members of different components are compared, in blocks by their sizes and the shingle's places, and of two components the likeliest pairs first. Texts
+    members of different components are compared, in blocks and once for buckets of the same members, and of two components the likeliest pairs first. Texts
     without words are alike; rows without an id are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(text).alias("text")).where("id IS NOT NULL")
     counts = np.zeros(COUNTED, np.int64)
-    for r in rows.select("text").mapInArrow(_counted(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.bucket] = r.n
-    sketched = rows.mapInArrow(_sketches(width, counts, similarity), "id long, digest binary, size long, first array<long>, bits array<long>, fp long")
+    counted = rows.select("text").mapInArrow(_counted(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    sketched = rows.mapInArrow(_sketches(width, counts, similarity), "id long, digest binary, size long, first array<long>, bits binary, fp long")
     sketches = materialize(sketched.withColumn("nid", F.monotonically_increasing_id()))  # written once, so the numbers are fixed
     names = sketches.select("nid", "id", "digest")
-    keyed = sketches.select("nid", "size", F.posexplode("first").alias("place", "key"))
+    keyed = sketches.select("nid", F.explode("first").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("u"), F.max("nid").alias("v")).where("n > 1")
     buckets = materialize(buckets)
     larger = buckets.where("n > 2").select("key", "n", "u")
-    members = materialize(keyed.join(small_side(larger), "key"))
+    members = materialize(keyed.join(small_side(larger, 1_000_000), "key"))
     free_shuffles(spark)
     stars = buckets.where("n = 2").select("u", "v").union(members.where("nid <> u").select("u", F.col("nid").alias("v")))
     bitmaps = sketches.select("nid", "size", "bits")
@@ -400,25 +422,28 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     def crossed(parts: DataFrame, most: int | None) -> DataFrame:
         """Pairs (u, v) of the components (a, b), from the buckets whose members are in different ones, and whether there are ``more``."""
-        placed = members.join(parts.withColumnRenamed("node", "nid"), "nid", "left").select("key", "n", "nid", "size", "place", F.coalesce("component", "nid").alias("part"))
-        placed = materialize(placed)
+        parted = lambda df: df.join(parts.withColumnRenamed("node", "nid"), "nid", "left").withColumn("part", F.coalesce("component", "nid")).drop("component")
+        placed = materialize(parted(members).select("key", "n", "nid", "part"))
         apart = materialize(placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key"))
         blocks = F.ceil(F.col("n") / NEAR_BLOCK)
-        left = placed.join(small_side(apart), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("nid"), blocks))
+        left = placed.join(small_side(apart, 1_000_000), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("nid"), blocks))
         left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "nid", "part", "size", "place")
+        member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "nid")
         met = left.groupBy("key", low.alias("low"), high.alias("high")).agg(F.sort_array(F.collect_set(member)).alias("rows"))
-        found = met.where(F.size("rows") > 1).select("rows").mapInArrow(_cross(similarity, most), "u long, v long, a long, b long, more boolean")
         # the same few members mostly meet under several keys
+        met = met.where(F.size("rows") > 1).select("rows").distinct()
+        met = materialize(met.withColumn("list", F.monotonically_increasing_id()))
+        ones = parted(met.select("list", F.explode("rows").alias("m")).select("list", "m.side", "m.nid")).join(bitmaps, "nid")
+        whole = ones.groupBy("list").agg(F.collect_list(F.struct("side", "nid", "part", "size", "bits")).alias("rows")).select("rows")
+        found = whole.mapInArrow(_cross(share, most), "u long, v long, a long, b long, more boolean")
         found = materialize(found.groupBy("u", "v", "a", "b").agg(F.max("more").alias("more")))
-        release(placed, apart)
+        release(placed, apart, met)
         free_shuffles(spark)
         return found
 
     def checked(found: DataFrame) -> DataFrame:
-        likely = materialize(_likely(found.select("u", "v").distinct(), bitmaps, share))
-        return _verified(likely, rows, names, similarity, width)
+        return _verified(found.select("u", "v").distinct(), rows, names, similarity, width)
 
     more = crossed(parts, MOST)
     if not more.isEmpty():
