@@ -4,11 +4,12 @@ Documents become token ids with a closing id. Whole sequences are cut off
 a document's start, and what remains has a length below the sequence length; the
 histogram of these lengths is all that the plan needs, and it has as many entries as
 a sequence has tokens however many documents there are. On the histogram the
-driver solves the cutting-stock linear program by column generation: a
-revised simplex over patterns (multisets of lengths that fit one sequence), with new
-columns priced by an unbounded-knapsack dynamic program, until no pattern helps or
-Farley's bound is close. Patterns are rounded down, then up where demand is left. Those that fill a
-sequence are used; the lengths of the others, and what rounding leaves, go to a stream that is cut
+driver solves the cutting-stock linear program over ``CLASSES`` classes of like lengths by column generation: a
+revised simplex over patterns (multisets of classes that fit one sequence), with new columns priced by an
+unbounded-knapsack dynamic program, until the cost is within ``GAP`` of a lower bound (the tokens that there are, or
+Farley's bound), or after ``PIVOTS`` steps; the plan's ``gap`` tells. Amounts are rounded down, and each copy of a pattern takes
+lengths of its classes that fill a sequence but for ``MAX_WASTE`` tokens. What is left is filled greedily by
+whole patterns of one to four lengths, and what no such pattern fills goes to a stream that is cut
 at each sequence boundary, which leaves one padded sequence in all.
 
 Each document is ranked within its length. A rank gives its pattern, copy
@@ -35,6 +36,15 @@ CAPACITY = 1024
 RANGES = 32
 #: Tokens that a used pattern may leave free.
 MAX_WASTE = 2
+#: How far the linear program's cost may be from its lower bound, and the most steps of the simplex.
+GAP = 1e-3
+PIVOTS = 20_000
+#: Lengths of a pattern that are chosen by their sum; of what a longer one has before, the most frequent of each class.
+FREE = 12
+#: Classes of lengths of the linear program.
+CLASSES = 128
+#: Ranges of rows that share a place with many others, or have none.
+SALTS = 16
 
 TOKENISED = "doc_id long, place long, doc_tokens long, full_crcs array<long>, rest int, rest_crc long, rest_ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -100,24 +110,102 @@ def price(lengths: np.ndarray, worth: np.ndarray, capacity: int, most: int = 12)
     return found
 
 
-def column_generation(demand: np.ndarray, capacity: int, gap: float = 2e-3, max_pivots: int = 1500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lengths, patterns, amounts) of a near-optimal solution of the linear program.
+def filled(left: np.ndarray, room: int) -> list[int] | None:
+    """Up to three lengths that fill ``room`` exactly, of those the ones with most left; None if there are none."""
+    if room == 0:
+        return []
+    a = np.arange(1, room // 2 + 1)
+    both = np.minimum(left[a], left[room - a])
+    if room % 2 == 0:
+        both[-1] = left[room // 2] // 2
+    best = int(both.max()) if len(both) else 0
+    if left[room] > 0 and left[room] >= best:
+        return [room]
+    if best:
+        k = int(both.argmax()) + 1
+        return [k, room - k]
+    for first in np.argsort(-left[1:room], kind="stable")[:8] + 1:
+        if left[first] > 0:
+            rest = left.copy()
+            rest[first] -= 1
+            a = np.arange(1, (room - first) // 2 + 1)
+            both = np.minimum(rest[a], rest[room - first - a])
+            if (room - first) % 2 == 0 and len(both):
+                both[-1] = rest[(room - first) // 2] // 2
+            if len(both) and both.max() > 0:
+                k = int(both.argmax()) + 1
+                return [int(first), k, int(room - first - k)]
+    return None
+
+
+def greedy(left: np.ndarray, capacity: int, waste: int) -> Iterator[dict[int, int]]:
+    """Patterns of the largest length left and what fills its sequence, but for up to ``waste`` tokens; the caller takes them out of ``left``."""
+    for size in range(len(left) - 1, 0, -1):
+        while left[size] > 0:
+            own = np.pad(left, (0, max(0, capacity + 1 - len(left))))
+            own[size] -= 1
+            rest = next((r for free in range(min(waste, capacity - size) + 1) if (r := filled(own, capacity - size - free)) is not None), None)
+            if rest is None:
+                break
+            yield dict(zip(*(x.tolist() for x in np.unique([size, *rest], return_counts=True))))
+
+
+def realised(left: np.ndarray, classes: list[int], unit: int, capacity: int, waste: int) -> dict[int, int] | None:
+    """A pattern of lengths, one of each class, that fills a sequence but for ``waste`` tokens; by dynamic programming over the sums."""
+    first: list[int] = []
+    for c in classes[:-FREE]:
+        own = [x for x in members(c, unit, len(left)) if left[x] > first.count(x)]
+        if not own:
+            return None
+        first.append(max(own, key=lambda x: left[x]))
+    reach: dict[int, tuple[int, ...]] = {sum(first): tuple(first)} if sum(first) <= capacity else {}
+    for c in classes[-FREE:]:
+        own = [x for x in members(c, unit, len(left)) if left[x] > 0]
+        new: dict[int, tuple[int, ...]] = {}
+        for total, taken in reach.items():
+            for x in own:
+                if total + x <= capacity and left[x] > taken.count(x):
+                    old = new.get(total + x)
+                    if old is None or left[x] * (1 + len(taken)) > left[old[-1]] * (1 + taken.count(x)):
+                        new[total + x] = (*taken, x)
+        reach = new
+    best = max(reach, default=0)
+    if best < capacity - waste:
+        return None
+    return dict(zip(*(x.tolist() for x in np.unique(reach[best], return_counts=True))))
+
+
+def class_of(lengths: np.ndarray, unit: int) -> np.ndarray:
+    """The nearest multiple of ``unit``, one at least."""
+    return np.maximum(1, (lengths + unit // 2) // unit)
+
+
+def members(c: int, unit: int, most: int) -> range:
+    return range(1 if c == 1 else c * unit - unit // 2, min(most, c * unit + unit - unit // 2))
+
+
+def column_generation(demand: np.ndarray, capacity: int, gap: float = GAP, max_pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, patterns, amounts) of a solution of the linear program, within ``gap`` of the optimum unless ``max_pivots`` came first.
 
     ``demand[l]`` is how many items of length l there are. patterns[:, j] counts the items of
-    each length in pattern j, and amounts[j] says how often it is used.
+    each length in pattern j, and amounts[j] says how often it is used. The simplex runs on slightly larger
+    demands, different for each length, so that it doesn't stall at ties.
     """
     lengths = np.flatnonzero(demand)
-    need = demand[lengths].astype(float)
+    exact = demand[lengths].astype(float)
+    draws = np.random.default_rng(0)
+    need = exact * (1 + 1e-4 * draws.random(len(lengths))) + 1e-3 * draws.random(len(lengths))
     columns = np.diag(capacity // lengths).astype(np.int64)
     inverse = np.diag(1.0 / (capacity // lengths))
     amounts = inverse @ need
+    tokens = float(lengths @ need) / capacity
     pivots = 0
-    while pivots < max_pivots:
+    while pivots < max_pivots and amounts.sum() > tokens * (1 + gap):
         patterns = price(lengths, inverse.sum(axis=0), capacity)  # every pattern costs one sequence
         if inverse.sum(axis=0) @ patterns[0] <= 1 + gap:  # Farley: the optimum is at least the cost / this value
             break
         for pattern in patterns:
-            if inverse.sum(axis=0) @ pattern <= 1 + 1e-6:
+            if inverse.sum(axis=0) @ pattern <= 1 + min(gap, 1e-6):
                 continue
             step = inverse @ pattern
             up = step > 1e-9
@@ -128,12 +216,12 @@ def column_generation(demand: np.ndarray, capacity: int, gap: float = 2e-3, max_
             amounts[out] = ratio[out]
             np.maximum(amounts, 0, out=amounts)
             row = inverse[out] / step[out]
-            at = np.flatnonzero(np.abs(row) > 1e-14)
-            inverse[:, at] -= np.outer(step, row[at])
+            some = np.flatnonzero(np.abs(row) > 1e-14)
+            inverse[:, some] -= np.outer(step, row[some])
             inverse[out] = row
             columns[:, out] = pattern
             pivots += 1
-    return lengths, columns, amounts
+    return lengths, columns, np.maximum(inverse @ exact, 0)
 
 
 class Plan:
@@ -148,26 +236,32 @@ class Plan:
     def __init__(self, demand: np.ndarray, capacity: int = CAPACITY, max_waste: int = MAX_WASTE):
         self.capacity = capacity
         left = demand.astype(np.int64).copy()
-        segments, sequences = [], 0
+        segments, sequences, self.gap = [], 0, 0.0
+
+        def use(pattern: dict[int, int], most: int) -> int:
+            nonlocal sequences
+            n = min([most, *(int(left[x]) // per for x, per in pattern.items())])
+            offset = 0
+            for size, per in sorted(pattern.items()):
+                segments.append((size, int(demand[size] - left[size]), per, offset, sequences))
+                left[size] -= per * n
+                offset += per * size
+            sequences += n
+            return n
+
         if left.sum():
-            lengths, patterns, amounts = column_generation(demand, capacity)
-            good = np.flatnonzero(capacity - lengths @ patterns <= max_waste)
-            copies = np.floor(amounts[good] + 1e-6).astype(np.int64)
-            for up in (False, True):
-                for j in np.argsort(np.floor(amounts[good]) - amounts[good], kind="stable"):
-                    p = patterns[:, good[j]]
-                    used = p > 0
-                    fits = int((left[lengths[used]] // p[used]).min())
-                    n = min(fits, int(copies[j])) if not up else fits
-                    if not n:
-                        continue
-                    offset = 0
-                    for at in np.flatnonzero(used):
-                        size, per = int(lengths[at]), int(p[at])
-                        segments.append((size, int(demand[size] - left[size]), per, offset, sequences))
-                        left[size] -= per * n
-                        offset += per * size
-                    sequences += n
+            unit = max(1, capacity // CLASSES)
+            x = np.flatnonzero(demand)
+            grouped = np.bincount(class_of(x, unit), weights=demand[x], minlength=2).astype(np.int64)
+            classes, patterns, amounts = column_generation(grouped, capacity // unit)
+            #: cost of the linear program against the tokens of the classes
+            self.gap = float(amounts.sum()) * (capacity // unit) / float(classes @ grouped[classes]) - 1
+            for j in np.argsort(-amounts, kind="stable"):
+                copies, wanted = int(amounts[j] + 1e-6), np.repeat(classes, patterns[:, j]).tolist()
+                while copies > 0 and (pattern := realised(left, wanted, unit, capacity, max_waste)):
+                    copies -= use(pattern, copies)
+            for pattern in greedy(left, capacity, max_waste):
+                use(pattern, 1 << 62)
         self.streamed = demand - left
         self.stream_at = np.concatenate([[0], np.cumsum(np.arange(len(demand)) * left)])[:-1]
         total = int((np.arange(len(demand)) * left).sum())
@@ -237,13 +331,15 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(order or doc_id).cast("long").alias("place"), F.col(text).alias("text"))
-    rows = materialize(rows.mapInArrow(_tokenised(tokenizer, closing, capacity), TOKENISED))
+    rows = materialize(rows.mapInArrow(_tokenised(tokenizer, closing, capacity), TOKENISED).withColumn("uid", F.monotonically_increasing_id()))
     splits = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    hot = sorted({x for x, y in zip(splits, splits[1:]) if x == y})  # at most ``ranges`` places that many rows share
     splits = sorted(set(splits))
     n_full = F.size("full_crcs").cast("long")
     part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda x: x < F.col("place"))) if splits else F.lit(0)
-    ranked = rows.withColumn("part", F.coalesce(part, F.lit(-1)).cast("int"))
-    # at most capacity x (ranges + 1) rows, whatever the input
+    salt = F.when(F.col("place").isNull() | F.col("place").isin(hot), F.pmod(F.xxhash64("uid"), F.lit(SALTS)) + 1).otherwise(F.lit(0))
+    ranked = rows.withColumn("part", (F.coalesce(part, F.lit(-1)) * (SALTS + 1) + salt).cast("int"))
+    # at most capacity x (ranges + 1) x (salts + 1) rows, whatever the input
     groups = ranked.groupBy("rest", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(n_full).alias("full")).collect()
     demand, offsets, full = np.zeros(capacity, np.int64), {}, 0
     for g in sorted(groups, key=lambda g: (g["rest"], g["part"])):
@@ -252,7 +348,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         full += g["full"]
     demand[0] = 0
     plan = Plan(demand, capacity)
-    by = Window.partitionBy("rest", "part").orderBy("place", "doc_id", "doc_tokens", "rest_crc", "full_crcs")
+    by = Window.partitionBy("rest", "part").orderBy("place", "uid")
     ranked = ranked.withColumn("rank", F.row_number().over(by).cast("long") - 1)
     ranked = ranked.withColumn("before", F.coalesce(F.sum(n_full).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 

@@ -56,4 +56,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special="all")
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # a run of about a million spaces is beyond the stack of its splitter
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)

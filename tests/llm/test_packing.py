@@ -43,3 +43,35 @@ def test_column_generation_reaches_the_bound():
     assert abs(amounts.sum() - 452.25) < 1e-6
     assert np.allclose(columns @ amounts, demand[lengths])
     assert (lengths @ columns).max() <= 100
+
+
+def test_column_generation_on_documents(spark):
+    """Near the bound, and its patterns take nearly all of what whole sequences leave."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    n = docs.select(F.col("doc_id"), F.col("doc_id").alias("place"), "text").mapInArrow(packing._tokenised(PATH, 0, 1024), packing.TOKENISED)
+    demand = np.zeros(1024, np.int64)
+    for r in n.groupBy("rest").count().collect():
+        demand[r["rest"]] = r["count"]
+    demand[0] = 0
+    plan = packing.Plan(demand)
+    assert plan.gap <= 0.01
+    assert plan.stream_first >= 0.9 * plan.n_sequences
+    assert plan.n_sequences == -(-int(np.arange(1024) @ demand) // 1024) or plan.n_sequences <= 1.001 * (np.arange(1024) @ demand) / 1024 + 1
+
+
+def test_patterns_of_many_short_lengths():
+    demand = np.zeros(1024, np.int64)
+    demand[1:12] = 5000
+    demand[700] = 50
+    plan = packing.Plan(demand)
+    size = np.repeat(np.arange(1024), demand)
+    seq, off, _ = plan.place(size, np.concatenate([np.arange(n) for n in demand]))
+    assert len(set(zip(seq.tolist(), off.tolist()))) == len(size)
+    assert plan.n_sequences <= (np.arange(1024) @ demand) / 1024 * 1.01 + 1
+
+
+def test_a_million_spaces(frame):
+    rows = [(1, " " * 1_000_000, "a"), (2, "x" + "\n" * 900_000 + "y", "a"), (None, "no id", "a"), (None, "no id", "a"), (4, "short", "a")]
+    check_pieces(rows, packing.pack(frame(rows), PATH).collect())
