@@ -50,8 +50,8 @@ COUNTED = 1 << 20
 PARITIES = 1 << 17
 #: Members of a bucket that are compared with each other or with another such block in one task.
 NEAR_BLOCK = 512
-#: Pairs of two components that a task compares at first.
-MOST = 8
+#: Pairs of a row that a list of rows yields at first.
+MOST = 2
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -281,11 +281,12 @@ def _sketches(width: int, counts: np.ndarray, similarity: float):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t.as_py(), width).view(np.int64) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "digest", "s"])
+            found = [shingle_set(t.as_py(), width) for t in b.column(2)]
+            packed = pa.array([x.tobytes() for x in found], pa.binary()) if kind == "binary" else pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["id", "digest", "s"])
 
     return run
 
@@ -295,56 +296,92 @@ def _unshared(similarity: float) -> float:
     return (1 - similarity) / (1 + similarity) + 1e-9
 
 
-def _cross(share: float, most: int | None):
-    """Pairs of different parts that may be links by sizes and bitmaps: for two parts the ``most`` likeliest, and whether there are more."""
+def _candidates(rows: list[dict], share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a list, the rows after it (or on the other side) of other parts that may be links by sizes and bitmaps, and how far apart."""
+    side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size"))
+    bits = [np.frombuffer(r["bits"], np.uint64) for r in rows]
+    wide = np.array([len(x) for x in bits])
+    for w in np.unique(wide):
+        # bitmaps of this width meet each other and, narrowed, the wider ones
+        level = np.flatnonzero(wide >= w)
+        level = level[n[level] * (1 - share) <= n[wide == w].max() * (1 + share) + 1]
+        matrix = np.stack([narrowed(bits[i], w) for i in level])
+        for row, i in enumerate(level):
+            later = side[level] > side[i] if side.any() else ids[level] > ids[i]
+            here = (wide[level] == w) | (wide[i] == w)
+            at = np.flatnonzero(later & here & (part[level] != part[i]) & (np.abs(n[level] - n[i]) <= share * (n[level] + n[i])))
+            apart = np.bitwise_count(matrix[at] ^ matrix[row]).sum(axis=1) / (n[level[at]] + n[i])
+            if (apart <= share).any():
+                yield int(i), level[at][apart <= share], apart[apart <= share]
+
+
+def _cross(share: float, most: int):
+    """Of each row of a list the ``most`` likeliest pairs, and whether there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name, members in zip(batch.column(0), batch.column(1)):
+                rows = members.as_py()
+                for i, others, apart in _candidates(rows, share):
+                    for x in others[np.argsort(apart, kind="stable")[:most]]:
+                        u, v = sorted((rows[i]["nid"], rows[x]["nid"]))
+                        found.append((name.as_py(), u, v, len(others) > most))
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[3] for f in found], pa.bool_())], ["list", "u", "v", "more"])
+
+    return run
+
+
+def _joined(share: float, similarity: float):
+    """Links that join the parts of a list, found by comparing all its candidates: one less than the parts at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for members in batch.column(0):
                 rows = members.as_py()
-                side, ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in ("side", "nid", "part", "size"))
-                bits = [np.frombuffer(r["bits"], np.uint64) for r in rows]
-                wide = np.array([len(x) for x in bits])
-                chosen: dict[tuple[int, int], list] = {}
-                for w in np.unique(wide):
-                    # bitmaps of this width meet each other and, narrowed, the wider ones
-                    level = np.flatnonzero(wide >= w)
-                    level = level[n[level] * (1 - share) <= n[wide == w].max() * (1 + share) + 1]
-                    matrix = np.stack([narrowed(bits[i], w) for i in level])
-                    for row, i in enumerate(level):
-                        later = side[level] > side[i] if side.any() else ids[level] > ids[i]
-                        here = (wide[level] == w) | (wide[i] == w)
-                        at = np.flatnonzero(later & here & (part[level] != part[i]) & (np.abs(n[level] - n[i]) <= share * (n[level] + n[i])))
-                        apart = np.bitwise_count(matrix[at] ^ matrix[row]).sum(axis=1) / (n[level[at]] + n[i])
-                        for x, d in zip(level[at][apart <= share], apart[apart <= share]):
-                            a, b = sorted((int(part[i]), int(part[x])))
-                            own = chosen.setdefault((a, b), [])
-                            own.append((d, int(min(ids[i], ids[x])), int(max(ids[i], ids[x]))))
-                            if most and len(own) > 4 * most:  # the memory of a pair of parts is bounded too
-                                own.sort()
-                                own[most + 1 :] = []
-                for (a, b), own in chosen.items():
-                    own.sort()
-                    more = bool(most) and len(own) > most
-                    found += [(u, v, a, b, more) for _, u, v in own[: most or len(own)]]
-            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[4] for f in found], pa.bool_())], ["u", "v", "a", "b", "more"])
+                sets = [np.frombuffer(r["s"], np.uint64) for r in rows]
+                for r, x in zip(rows, sets):
+                    r["bits"] = parity(x).tobytes()
+                root = {r["part"]: r["part"] for r in rows}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for i, others, _ in _candidates(rows, share):
+                    for x in others:
+                        a, b = find(rows[i]["part"]), find(rows[x]["part"])
+                        if a != b:
+                            both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
+                            if both >= similarity * (len(sets[i]) + len(sets[x]) - both):
+                                root[max(a, b)] = min(a, b)
+                                found.append(sorted((rows[i]["nid"], rows[x]["nid"])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
     return run
 
 
+def _sets_of(nodes: DataFrame, docs: DataFrame, names: DataFrame, width: int, kind: str = "array<long>") -> DataFrame:
+    """(nid, s): the shingle sets of the nodes, of texts that are read again; as longs or as their bytes."""
+    involved = materialize(nodes.select("nid").distinct().join(names, "nid"))
+    texts = docs.join(small_side(involved.select("id", "digest").distinct()), ["id", "digest"], "left_semi")
+    own = materialize(texts.select("id", "digest", "text").mapInArrow(_sets(width, kind), f"id long, digest binary, s {kind}"))
+    out = materialize(own.dropDuplicates(["id", "digest"]).join(involved, ["id", "digest"]).select("nid", "s"))
+    release(involved, own)
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (u, v) of nodes whose shingle sets have at least this Jaccard similarity; ``names`` tells a node's row."""
-    involved = materialize(pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct().join(names, "nid"))
-    texts = docs.join(small_side(involved.select("id", "digest").distinct()), ["id", "digest"], "left_semi")
-    own = materialize(texts.select("id", "digest", "text").mapInArrow(_sets(width), "id long, digest binary, s array<long>"))
-    sets = materialize(own.dropDuplicates(["id", "digest"]).join(involved, ["id", "digest"]).select("nid", "s"))
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("nid")), docs, names, width)
     first = materialize(pairs.join(sets.select(F.col("nid").alias("v"), F.col("s").alias("sv")), "v"))
     both = first.join(sets.select(F.col("nid").alias("u"), F.col("s").alias("su")), "u")
     shared = F.size(F.array_intersect("su", "sv"))
     kept = materialize(both.where(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v").distinct())
-    release(involved, own, sets, first)
+    release(sets, first)
     free_shuffles(docs.sparkSession)
     return kept
 
@@ -395,7 +432,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     but for collisions of 64-bit hashes.
 
     Members of a bucket are first held against its smallest node; then, since links within a component change nothing, only
-    members of different components are compared, in blocks and once for buckets of the same members, and of two components the likeliest pairs first. Texts
+    members of different components are compared, in blocks and once for buckets of the same members: of each member the likeliest
+    pairs first, and where that leaves different components, all of them. Texts
     without words are alike; rows without an id are not read.
     """
     spark = docs.sparkSession
@@ -420,40 +458,36 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     release(buckets, pairs)
     parts = materialize(connected_components(edges))
 
-    def crossed(parts: DataFrame, most: int | None) -> DataFrame:
-        """Pairs (u, v) of the components (a, b), from the buckets whose members are in different ones, and whether there are ``more``."""
-        parted = lambda df: df.join(parts.withColumnRenamed("node", "nid"), "nid", "left").withColumn("part", F.coalesce("component", "nid")).drop("component")
-        placed = materialize(parted(members).select("key", "n", "nid", "part"))
-        apart = materialize(placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key"))
-        blocks = F.ceil(F.col("n") / NEAR_BLOCK)
-        left = placed.join(small_side(apart, 1_000_000), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("nid"), blocks))
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "nid")
-        met = left.groupBy("key", low.alias("low"), high.alias("high")).agg(F.sort_array(F.collect_set(member)).alias("rows"))
-        # the same few members mostly meet under several keys
-        met = met.where(F.size("rows") > 1).select("rows").distinct()
-        met = materialize(met.withColumn("list", F.monotonically_increasing_id()))
-        ones = parted(met.select("list", F.explode("rows").alias("m")).select("list", "m.side", "m.nid")).join(bitmaps, "nid")
-        whole = ones.groupBy("list").agg(F.collect_list(F.struct("side", "nid", "part", "size", "bits")).alias("rows")).select("rows")
-        found = whole.mapInArrow(_cross(share, most), "u long, v long, a long, b long, more boolean")
-        found = materialize(found.groupBy("u", "v", "a", "b").agg(F.max("more").alias("more")))
-        release(placed, apart, met)
-        free_shuffles(spark)
-        return found
-
-    def checked(found: DataFrame) -> DataFrame:
-        return _verified(found.select("u", "v").distinct(), rows, names, similarity, width)
-
-    more = crossed(parts, MOST)
-    if not more.isEmpty():
-        edges = materialize(edges.union(checked(more)))
+    def parted(df: DataFrame, parts: DataFrame) -> DataFrame:
+        return df.join(parts.withColumnRenamed("node", "nid"), "nid", "left").withColumn("part", F.coalesce("component", "nid")).drop("component")
+
+    # the members of buckets that are in different components, in blocks; the same few members mostly meet under several keys
+    placed = materialize(parted(members, parts).select("key", "n", "nid", "part"))
+    apart = materialize(placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key"))
+    blocks = F.ceil(F.col("n") / NEAR_BLOCK)
+    left = placed.join(small_side(apart, 1_000_000), "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("nid"), blocks))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    member = F.struct(F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "nid")
+    met = left.groupBy("key", low.alias("low"), high.alias("high")).agg(F.sort_array(F.collect_set(member)).alias("rows"))
+    met = met.where(F.size("rows") > 1).select("rows").distinct()
+    met = materialize(met.withColumn("list", F.monotonically_increasing_id()))
+    listed = met.select("list", F.explode("rows").alias("m")).select("list", "m.side", "m.nid")
+    release(placed, apart, members)
+    free_shuffles(spark)
+    whole = parted(listed, parts).join(bitmaps, "nid").groupBy("list").agg(F.collect_list(F.struct("side", "nid", "part", "size", "bits")).alias("rows"))
+    found = materialize(whole.mapInArrow(_cross(share, MOST), "list long, u long, v long, more boolean"))
+    if not found.isEmpty():
+        edges = materialize(edges.union(_verified(found.select("u", "v").distinct(), rows, names, similarity, width)))
         parts = materialize(connected_components(edges))
-        left = more.where("more").select("a", "b").distinct()
-        now = lambda c, x: parts.select(F.col("node").alias(c), F.col("component").alias(x))
-        left = left.join(now("a", "x"), "a", "left").join(now("b", "y"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b"))
-        if left.limit(1).count():  # many candidates between two components, and the likeliest were no links: all of them
-            parts = materialize(connected_components(edges.union(checked(crossed(parts, None)))))
+        # lists with rows that had more candidates and are still in different components: all of those are compared where they meet
+        again = parted(listed.join(small_side(found.where("more").select("list").distinct()), "list", "left_semi"), parts)
+        again = materialize(again.join(again.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("list"), "list", "left_semi"))
+        if not again.isEmpty():
+            sets = _sets_of(again, rows, names, width, "binary").withColumn("size", (F.octet_length("s") / 8).cast("long"))
+            whole = again.join(sets, "nid").groupBy("list").agg(F.collect_list(F.struct("side", "nid", "part", "size", "s")).alias("rows")).select("rows")
+            more = materialize(whole.mapInArrow(_joined(share, similarity), "u long, v long"))
+            parts = materialize(connected_components(edges.union(more)))
     placed = parts.withColumnRenamed("node", "nid").join(names, "nid")
     least = placed.groupBy("component").agg(F.min("id").alias("least"))
     return placed.join(least, "component").select("id", "digest", F.col("least").alias("component"))
