@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -116,6 +117,48 @@ def test_license_scan(frame):
     assert license_scan.scan(frame([])).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text", "Apache-2.0-header", "GPL-2.0-header", "GPL-3.0-header"])
+@pytest.mark.parametrize("width", [72, 40])
+def test_wrapped_licenses_inside_documents(frame, name, width):
+    body = "\n".join(textwrap.wrap(license_scan.TEMPLATES[name], width))
+    around = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(40))
+    rows = [(1, f"{around}\nCopyright (c) 2024 someone\n{body}\n\n{around}", "a"), (2, body, "a"), (3, f"/* {body.replace(chr(10), chr(10) + ' * ')}", "a"), (4, around + "\nsoftware warranty", "a"), (5, around, "a")]
+    got = {r.doc_id: r for r in license_scan.scan(frame(rows).withColumns({"_hits": F.lit(1), "_all": F.lit(2), "_lines": F.lit("x")})).collect()}
+    for k in (1, 2, 3):
+        assert name in got[k].licenses.split(",") and got[k].license == name and got[k].dice > 0.9, k
+    assert got[4].n_matches == got[5].n_matches == 0
+
+
+def test_license_blocks_against_brute_force(frame):
+    """Every block of every template, without the words that a text must have."""
+    rng = np.random.default_rng(4)
+    t, rows = license_scan.TEMPLATES, []
+    for i, name in enumerate([n for n in t if len(license_scan._words_of(t[n])) >= license_scan.LONG] * 6):
+        words = [w if rng.random() > 0.06 * (i // 8) else "other" for w in t[name].split()]
+        lines = textwrap.wrap(" ".join(words), 60)
+        rows.append((i, "\n".join(["some text"] * int(rng.integers(0, 3)) + lines[int(rng.integers(0, 2)) :] + ["more"] * int(rng.integers(0, 3))), "a"))
+    rows.append((900, "Released under the MIT License. " * 100, "a"))  # five bigrams, many words
+    rows.append((901, "\n".join(["Released under the MIT License."] * 200), "a"))
+    got = {r.doc_id: (r.n_matches, r.licenses) for r in license_scan.scan(frame(rows)).collect()}
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 0
+    known = {n: set(license_scan.bigrams_of(b)) for n, b in t.items()}
+    for d, text, _ in rows:
+        lines, hits = text.split("\n"), []
+        for unit in lines + [text] * (len(lines) > 1):
+            best = max((dice(set(license_scan.bigrams_of(unit)), g), [-ord(c) for c in n], n) for n, g in known.items())
+            hits += [best[2]] * (best[0] >= 0.8)
+        own, starts = [], []
+        for x in lines:
+            w = license_scan._words_of(x)
+            starts += [len(own)] * bool(w)
+            own += w
+        for n, g in known.items():
+            size = len(license_scan._words_of(t[n]))
+            if size >= license_scan.LONG and len(lines) > 1 and any(dice(set(license_scan.bigrams_of(" ".join(own[i : i + size]))), g) >= 0.8 for i in starts if len(own) - i >= size * 0.8 / 1.2):
+                hits.append(n)
+        assert got[d] == (len(hits), ",".join(sorted(set(hits)))), d
+
+
 # ---- url filter
 
 
