@@ -14,6 +14,8 @@ words has no blocks for it. All of it happens within a row; nothing is shuffled.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,9 +124,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
     long = [(n, g, len(_words_of(body))) for n, body in sorted((templates or TEMPLATES).items()) if (g := bigrams_of(body)) and len(_words_of(body)) >= LONG]
     if long:
         marks = sorted({w for _, g, _ in long for w in markers(g, len(g) * (1 - low))})
-        several = (F.size("_lines") > 1) & F.col("text").rlike("(?i)" + "|".join(marks))
+        df = df.withColumn("_lower", F.when(F.size("_lines") > 1, F.lower("text")).otherwise(F.lit("")))
+        several = reduce(or_, [F.col("_lower").contains(w) for w in marks])
         df = df.withColumn("_by_line", F.when(several, F.transform("_lines", _words)).otherwise(F.expr("array()").cast("array<array<string>>")))
         df = df.withColumn("_all", F.flatten("_by_line"))
+        df = df.withColumn("_known", F.when(F.size("_all") > 0, _grams(F.col("_all"))).otherwise(F.expr("array()").cast("array<string>")))
         start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
         put = lambda a, w: F.struct((a["at"] + F.size(w)).alias("at"), F.when(F.size(w) > 0, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]).alias("starts"))
         df = df.withColumn("_starts", F.aggregate("_by_line", start, put)["starts"])
@@ -133,6 +137,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
             t = struct_of(name, grams)
             # where the last words of a text are fewer, the block is what there is
             blocks = F.transform(F.filter("_starts", lambda i: F.size("_all") - i >= n * low), lambda i: F.slice("_all", i + 1, n))
+            # a text that lacks too many of the bigrams has no block that has them
+            blocks = F.when(F.size(F.array_intersect("_known", t["grams"])) >= low * len(grams) - 1e-9, blocks).otherwise(F.expr("array()").cast("array<array<string>>"))
             return F.array_min(F.transform(blocks, lambda w: score(_grams(w), t)))
 
         found = [best_block(*x) for x in long]
