@@ -336,28 +336,30 @@ def _cross(share: float, most: int):
 def _joined(share: float, similarity: float):
     """Links that join the parts of a list, found by comparing all its candidates: one less than the parts at most."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["side", "nid", "part", "size", "s"]).to_pylist()
-        sets = [np.frombuffer(r["s"], np.uint64) for r in rows]
-        for r, x in zip(rows, sets):
-            r["bits"] = parity(x).tobytes()
-        root = {r["part"]: r["part"] for r in rows}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        found = []
-        for i, others, _ in _candidates(rows, share):
-            for x in others:
-                a, b = find(rows[i]["part"]), find(rows[x]["part"])
-                if a != b:
-                    both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
-                    if both >= similarity * (len(sets[i]) + len(sets[x]) - both):
-                        root[max(a, b)] = min(a, b)
-                        found.append(sorted((rows[i]["nid"], rows[x]["nid"])))
-        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for members in batch.column(0):
+                rows = members.as_py()
+                sets = [np.frombuffer(r["s"], np.uint64) for r in rows]
+                for r, x in zip(rows, sets):
+                    r["bits"] = parity(x).tobytes()
+                root = {r["part"]: r["part"] for r in rows}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for i, others, _ in _candidates(rows, share):
+                    for x in others:
+                        a, b = find(rows[i]["part"]), find(rows[x]["part"])
+                        if a != b:
+                            both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
+                            if both >= similarity * (len(sets[i]) + len(sets[x]) - both):
+                                root[max(a, b)] = min(a, b)
+                                found.append(sorted((rows[i]["nid"], rows[x]["nid"])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
     return run
 
@@ -483,8 +485,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         again = materialize(again.join(again.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("list"), "list", "left_semi"))
         if not again.isEmpty():
             sets = _sets_of(again, rows, names, width, "binary").withColumn("size", (F.octet_length("s") / 8).cast("long"))
-            # one list at a time, as its sets are long
-            more = materialize(again.join(sets, "nid").groupBy("list").applyInArrow(_joined(share, similarity), "u long, v long"))
+            whole = again.join(sets, "nid").groupBy("list").agg(F.collect_list(F.struct("side", "nid", "part", "size", "s")).alias("rows")).select("rows")
+            more = materialize(whole.mapInArrow(_joined(share, similarity), "u long, v long"))
             parts = materialize(connected_components(edges.union(more)))
     placed = parts.withColumnRenamed("node", "nid").join(names, "nid")
     least = placed.groupBy("component").agg(F.min("id").alias("least"))
