@@ -33,6 +33,45 @@ def test_exact_dedup_runs_merge(spark):
     assert got == {b"a": (3, 7, 50), b"b": (1, 1, 9), b"c": (1, 1, 1)}
 
 
+def test_exact_dedup_levels_filters_and_hits(spark):
+    """Five flushes of overlapping keys: levels as of a binary counter, hits as counted, no key lost by a filter."""
+    index = exact_dedup.MergeIndex(spark)
+    seen, shapes = Counter(), []
+    for k in range(5):
+        keys = list(range(k * 700, k * 700 + 1000)) + [k]
+        seen.update(keys)
+        rows = [(hashlib.sha256(str(x).encode()).digest(), 1, x) for x in keys]
+        index.flush(spark.createDataFrame(rows, "digest binary, points int, doc_id long"))
+        shapes.append([len(level) for level in index.levels])
+    assert shapes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    name = {hashlib.sha256(str(x).encode()).digest(): x for x in seen}
+    hits = [name[bytes(r.digest)] for r in index.hits().collect()]
+    assert sorted(hits) == sorted(x for x, n in seen.items() if n > 1)
+    run = index.levels[2][0]
+    probes = spark.createDataFrame([(hashlib.sha256(str(x).encode()).digest(),) for x in range(10_000, 14_000)], "digest binary")
+    probed = probes.withColumn("shard", exact_dedup._shard(run.shards)).join(run.filter, "shard")
+    for place in exact_dedup._places():
+        probed = probed.where(exact_dedup._is_set(probed.bits, place))
+    assert probed.count() < 80  # 1 % by chance
+    assert {name[bytes(r.digest)]: r.n for r in index.compact().collect()} == seen
+
+
+@pytest.mark.parametrize("keep", [0, 1])
+def test_exact_dedup_groups_by_bytes_where_digests_collide(frame, sample, odd, keep):
+    from pyspark.sql import functions as F
+
+    rows = sample[:60] + odd + [(-(2**63), "least", "a"), (5, "least", "b"), (-(2**63), "one more", "a")]
+    weak = lambda norm: F.substring(exact_dedup.sha256(norm), 1, keep)  # noqa: E731  at most 256 digests
+    columns = ("doc_id", "keep_id", "group_size", "kept")
+    got = exact_dedup.exact_dedup(frame(rows), digest=weak).select(*columns).collect()
+    assert Counter(got) == Counter(exact_dedup.exact_dedup(frame(rows)).select(*columns).collect())
+    groups = defaultdict(list)
+    for d, t, _ in rows:
+        groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append((-len(t or ""), d is None, d))
+    want = Counter((m[2], min(g)[2], len(g), i == 0) for g in groups.values() for i, m in enumerate(sorted(g)))
+    assert Counter(tuple(r) for r in got) == want
+
+
 @pytest.mark.parametrize("cap", [1024, 2])
 def test_simhash_against_brute_force(frame, sample, odd, cap):
     near = [(2000 + i, " ".join(f"t{j}" for j in range(400)) + f" z{i}" * (i % 5), "a") for i in range(12)]
