@@ -70,12 +70,32 @@ def _is_set(bits: Column, place: Column) -> Column:
     return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), F.pmod(place, F.lit(8)).cast("int") + 1)) != 0
 
 
+class Filter(NamedTuple):
+    """A Bloom filter as rows (shard, bits)."""
+
+    bits: DataFrame
+    shards: int
+
+    @classmethod
+    def of(cls, digests: DataFrame) -> Filter:
+        """The filter of a written table's digests."""
+        shards = digests.count() // KEYS + 1
+        places = digests.select(_shard(shards).alias("shard"), F.explode(F.array(*_places())).alias("place"))
+        return cls(materialize(places.groupBy("shard").agg(F.bitmap_construct_agg("place").alias("bits"))), shards)
+
+    def passing(self, rows: DataFrame) -> DataFrame:
+        """The rows whose digest may be in the filter, which is broadcast up to 2,000 shards of 4 KB."""
+        out = rows.withColumn("shard", _shard(self.shards)).join(small_side(self.bits, max_rows=2000), "shard")
+        for place in _places():
+            out = out.where(_is_set(F.col("bits"), place))
+        return out.drop("shard", "bits")
+
+
 class Run(NamedTuple):
-    """Sorted rows (digest, n, best) and their filter, rows (shard, bits)."""
+    """Sorted rows (digest, n, best) and the filter of their digests."""
 
     rows: DataFrame
-    filter: DataFrame
-    shards: int
+    filter: Filter
 
 
 class MergeIndex:
@@ -113,11 +133,7 @@ class MergeIndex:
 
     def _lookup(self, digests: DataFrame, old: Run) -> DataFrame:
         """Those of ``digests`` that ``old`` has: few pass the filter beside them, and only these meet the run."""
-        shards = small_side(old.filter, max_rows=2000)  # 4 KB a row
-        probed = digests.withColumn("shard", _shard(old.shards)).join(shards, "shard")
-        for place in _places():
-            probed = probed.where(_is_set(F.col("bits"), place))
-        return probed.select("digest").join(old.rows.select("digest"), "digest")
+        return old.filter.passing(digests).join(old.rows.select("digest"), "digest")
 
     def _add(self, run: Run, level: int) -> None:
         if level == len(self.levels):
@@ -133,26 +149,23 @@ class MergeIndex:
             rows = rows.unionByName(r.rows)
         out = self._write(rows.groupBy("digest").agg(F.sum("n").alias("n"), F.max("best").alias("best")))
         for r in runs:
-            release(r.rows, r.filter)
+            release(r.rows, r.filter.bits)
         return out
 
     def _write(self, rows: DataFrame) -> Run:
         rows = materialize(rows, sort_by=["digest"])
-        shards = rows.count() // KEYS + 1
-        places = rows.select(_shard(shards).alias("shard"), F.explode(F.array(*_places())).alias("place"))
-        return Run(rows, materialize(places.groupBy("shard").agg(F.bitmap_construct_agg("place").alias("bits"))), shards)
+        return Run(rows, Filter.of(rows.select("digest")))
 
 
 def _verify(docs: DataFrame, hits: DataFrame, text: str, doc_id: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests of ``hits`` behind which stand several different byte strings (none, unless the digest collides).
 
-    Salted by row, so that the texts of one digest meet in many tasks; each of
+    Only texts that pass the filter of the hits move; those that pass by chance have no second text
+    and change nothing. Salted by row, so that the texts of one digest meet in many tasks; each of
     these passes on one copy.
     """
-    salted = hits.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = docs.select(normalised(F.col(text)).alias("norm"), F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("salt"))
-    texts = texts.withColumn("digest", digest(F.col("norm")))
-    met = texts.join(salted, ["digest", "salt"], "left_semi")
+    met = Filter.of(hits).passing(texts.withColumn("digest", digest(F.col("norm"))))
     # combined before each shuffle: at most one text for each digest, salt and task
     distinct = met.select("digest", "salt", "norm").distinct().select("digest", "norm").distinct()
     return distinct.groupBy("digest").count().where("count > 1").select("digest")
