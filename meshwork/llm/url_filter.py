@@ -2,12 +2,14 @@
 
 Per host, the segments of a path go down a tree. At each level variable
 segments become wildcards: by form (digits, long hexadecimal strings) and by
-statistics (a node most of whose children are rare). Sibling branches whose labelled
-rate does not differ from that of their node by more than chance (a two-sided test on the
-proportion) are merged into one wildcard. A template's purity is its
+statistics (a node most of whose children are rare). A branch whose labelled
+rate does not differ from that of its siblings by more than chance (a two-sided test of two
+proportions, with at least LEAST labels on both sides) is merged with the others like it into one wildcard. Without
+labels nothing is merged by them. A template's purity is its
 share of good labels, smoothed with the overall share; templates below the limit
 are rejected.
 
+The tree goes as deep as there is a node that either rule can touch: one with CHILDREN urls or more.
 The levels are aggregations of distinct (host, path) rows with their counts, combined
 before they are shuffled. A host with a third of all urls is only as
 large as its different paths of one form; children are counted per node, never gathered.
@@ -22,10 +24,10 @@ from meshwork.session import materialize, release, table
 
 #: Rules of the query: verdict and host with path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Levels of the tree that statistics may generalise; deeper segments keep their form.
-LEVELS = 6
 #: A node with at least so many children, fewer than RARE urls in each on average, is variable.
 CHILDREN, RARE = 16, 4.0
+#: Labels that a branch and its siblings must have to be compared; not below half of CHILDREN, or nodes would close too early.
+LEAST = 8
 #: Two-sided 95 % point of the normal distribution.
 Z = 1.96
 #: Weight of the overall share in labelled pages, and the least purity of a template.
@@ -56,12 +58,16 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 
 def form(segment: Column) -> Column:
-    """A segment with its digit runs and long hexadecimal strings as wildcards."""
-    hexed = F.regexp_replace(segment, "(?i)(?<![0-9a-z])(?=[0-9a-f-]*[0-9])[0-9a-f]{8}[0-9a-f-]{4,}(?![0-9a-z])", "{x}")
+    """A segment with its digit runs and long hexadecimal strings as wildcards.
+
+    Braces of the url are doubled and a lone asterisk is put in braces, so that no segment passes for a wildcard.
+    """
+    plain = F.when(segment == "*", F.lit("{*}")).otherwise(F.regexp_replace(segment, "([{}])", "$1$1"))
+    hexed = F.regexp_replace(plain, "(?i)(?<![0-9a-z])(?=[0-9a-f-]*[0-9])[0-9a-f]{8}[0-9a-f-]{4,}(?![0-9a-z])", "{x}")
     return F.regexp_replace(hexed, "[0-9]+", "{n}")
 
 
-def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
+def templates(paths: DataFrame) -> DataFrame:
     """(host, path, template) from rows (host, path, n, labelled, good), distinct by host and path."""
     df = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
     df = df.withColumn("segments", F.transform("segments", form))
@@ -69,28 +75,32 @@ def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
     # what distinguishes paths from here on is their form
     key = materialize(df.select("host", "path", F.array_join("segments", "/").alias("form"), "tail", "n", "labelled", "good"))
     tree = key.groupBy("host", "form").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-    tree = tree.withColumn("rest", F.split("form", "/")).withColumn("prefix", F.lit(""))
-    for level in range(levels):
-        tree = materialize(tree)
-        if not tree.where(F.size("rest") > level).limit(1).count():
-            break
-        tree = tree.withColumn("child", F.get("rest", F.lit(level)))
-        child = tree.where("child is not null").groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
+    tree = materialize(tree.withColumn("rest", F.filter(F.split("form", "/"), lambda s: s != "")).withColumn("prefix", F.lit("")))
+    closed, level = [], 0
+    while tree.limit(1).count():
+        here = tree.withColumn("child", F.get("rest", F.lit(level)))
+        child = here.where("child is not null").groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
         child = materialize(child)
         node = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("nn"), F.sum("l").alias("ll"), F.sum("g").alias("gg"))
-        both = child.join(node, ["host", "prefix"])
-        rate = F.coalesce(F.try_divide("gg", "ll"), F.lit(0.5))
-        variable = (F.col("k") >= CHILDREN) & (F.col("nn") < RARE * F.col("k"))
-        spread = F.sqrt(F.col("l") * rate * (1 - rate))
-        alike = (F.col("k") > 1) & (F.abs(F.col("g") - F.col("l") * rate) <= Z * spread)
-        both = both.select("host", "prefix", "child", F.when(variable & (F.col("n") < RARE) | alike, F.lit("*")).otherwise(F.col("child")).alias("named"))
-        new = tree.join(both, ["host", "prefix", "child"], "left").withColumn("prefix", F.when(F.col("named").isNotNull(), F.concat_ws("/", "prefix", "named")).otherwise(F.col("prefix")))
-        new = materialize(new.drop("child", "named"))
-        release(child, tree)
-        tree = new
-    tail = F.slice("rest", levels + 1, F.greatest(F.size("rest"), F.lit(1)))
-    tree = tree.select("host", "form", F.concat_ws("/", "prefix", F.nullif(F.array_join(tail, "/"), F.lit(""))).alias("template"))
-    return key.join(tree, ["host", "form"]).select("host", "path", F.concat("template", "tail").alias("template"), "n", "labelled", "good")
+        # with fewer urls no rule below can hold: k and l are at most n
+        both = child.join(node.where(F.col("nn") >= min(CHILDREN, 2 * LEAST)), ["host", "prefix"])
+        variable = (F.col("k") >= CHILDREN) & (F.col("nn") < RARE * F.col("k")) & (F.col("n") < RARE)
+        l, others = F.col("l"), F.col("ll") - F.col("l")
+        rate = F.try_divide("gg", "ll")
+        spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), l) + F.try_divide(F.lit(1), others)))
+        apart = F.abs(F.try_divide("g", l) - F.try_divide(F.col("gg") - F.col("g"), others))
+        alike = (l >= LEAST) & (others >= LEAST) & (apart <= Z * spread)
+        both = both.select("host", "prefix", "child", F.when(variable | F.coalesce(alike, F.lit(False)), F.lit("*")).otherwise(F.col("child")).alias("named"))
+        new = materialize(here.join(both, ["host", "prefix", "child"], "left").drop("child"))
+        release(child)
+        rest = F.slice("rest", level + 1, F.greatest(F.size("rest"), F.lit(1)))
+        closed.append(new.where("named is null").select("host", "form", F.concat_ws("/", "prefix", F.nullif(F.array_join(rest, "/"), F.lit(""))).alias("template")))
+        tree = new.where("named is not null").withColumn("prefix", F.concat_ws("/", "prefix", "named")).drop("named")
+        level += 1
+    whole = tree.select("host", "form", F.col("prefix").alias("template"))
+    for frame in closed:
+        whole = whole.unionByName(frame)
+    return key.join(whole, ["host", "form"]).select("host", "path", F.concat("template", "tail").alias("template"), "n", "labelled", "good")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, page_id: str = "page_id", url: str = "url", least: float = PURITY) -> DataFrame:
@@ -100,7 +110,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | No
     for a page the worst counts. The longest rule that fits decides; without one the template does.
     Null urls and those without "://" have an empty host and path, the template
     of an empty path, and are judged by it. A page without an id has no label. Repeated rows have a row each, an
-    empty table none. Without labels every purity is one half, which the limit keeps.
+    empty table none. Without labels every purity is one half, which the limit keeps. Other columns of both tables
+    are not read, whatever their names.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     known = labels.select(F.col("page_id").alias("_page"), F.col("good").cast("int").alias("good")).where("good is not null").groupBy("_page").agg(F.min("good").alias("good"))

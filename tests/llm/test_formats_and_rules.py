@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import textwrap
 from collections import Counter, defaultdict
@@ -188,6 +189,90 @@ def test_url_rules(spark):
         assert (r.rule, r.verdict) == ((want[1], want[0]) if want else (None, "allow"))
 
 
+def brute_templates(rows):
+    """(host, path) -> (template, purity), from rows (host, path, good or None), by recursion over a node's paths."""
+    def form(x):
+        x = "{*}" if x == "*" else re.sub("([{}])", r"\1\1", x)
+        x = re.sub("(?i)(?<![0-9a-z])(?=[0-9a-f-]*[0-9])[0-9a-f]{8}[0-9a-f-]{4,}(?![0-9a-z])", "{x}", x)
+        return re.sub("[0-9]+", "{n}", x)
+
+    def grow(prefix, members, out):
+        """members: (rest, key, good); the whole template of each key goes to ``out``."""
+        kids = defaultdict(list)
+        for rest, key, good in members:
+            if rest:
+                kids[rest[0]].append((rest[1:], key, good))
+            else:
+                out[key] = prefix
+        total = sum(map(len, kids.values()))
+        marks = lambda ms: [g for _, _, g in ms if g is not None]
+        every = [g for ms in kids.values() for g in marks(ms)]
+        merged = defaultdict(list)
+        for name, ms in kids.items():
+            own = marks(ms)
+            a, b = len(own), len(every) - len(own)
+            wild = len(kids) >= 16 and total < 4 * len(kids) and len(ms) < 4
+            if a >= 8 and b >= 8:
+                p = sum(every) / len(every)
+                gap = abs(sum(own) / a - (sum(every) - sum(own)) / b)
+                wild |= gap <= 1.96 * math.sqrt(p * (1 - p) * (1 / a + 1 / b))
+            merged["*" if wild else name] += ms
+        for name, ms in merged.items():
+            grow(prefix + [name], ms, out)
+
+    found = {}
+    for host in {r[0] for r in rows}:
+        out = {}
+        grow([], [([form(x) for x in p.split("/") if x], (h, p), g) for h, p, g in rows if h == host], out)
+        found |= out
+    found = {k: "".join("/" + x for x in v) + "/" * k[1].endswith("/") for k, v in found.items()}
+    known = [g for *_, g in rows if g is not None]
+    share = sum(known) / len(known) if known else 0.5
+    marks = defaultdict(list)
+    for h, p, g in rows:
+        marks[h, found[h, p]] += [g] if g is not None else []
+    return {k: (v, (sum(marks[k[0], v]) + 8 * share) / (len(marks[k[0], v]) + 8)) for k, v in found.items()}
+
+
+@pytest.mark.parametrize("labelled", [0.7, 0.05, 0.0])
+def test_url_tree_against_brute_force(spark, labelled):
+    """Random trees of up to nine levels, one node of many rare children, literal wildcards, repeated urls and ids, odd columns."""
+    rng = random.Random(11)
+    pages, labels = [], []
+    for i in range(1500):
+        host = rng.choice(["a.org", "b.org", "b.org", ""])
+        parts = [rng.choice(["x", "y", "z", "*", "{n}", "12", "v7", "deadbeef01234567"]) for _ in range(rng.choice([1, 2, 2, 3, 9]))]
+        if rng.random() < 0.3:
+            parts = ["q", f"name-{rng.choice('abcdefgh')}{chr(97 + i % 23)}{chr(97 + i // 23 % 5)}", "end"]
+        if rng.random() < 0.2:
+            parts = ["deep"] * 7 + [rng.choice("uvw")]
+        pages.append((i, host, "/" + "/".join(parts) + rng.choice(["", "", "/"])))
+        if rng.random() < labelled:
+            labels.append((i, int(rng.random() < {"x": 0.9, "y": 0.85, "q": 0.1}.get(parts[0], 0.5))))
+    marks = dict(labels)
+    frame = spark.createDataFrame([(i, f"http://{h}{p}", "t", 1) for i, h, p in pages], "page_id long, url string, template string, _hit int")
+    got = url_filter.judge(frame.unionByName(frame.limit(1)), spark.createDataFrame(labels + labels[:3], "page_id long, good int"), rules=[]).collect()
+    assert len(got) == 1501
+    got = {r.page_id: r for r in got}
+    want = brute_templates([(h, p, marks.get(i)) for i, h, p in pages + pages[:1]])
+    rows = {(i, h, p) for i, h, p in pages}
+    assert {i: got[i].template for i, _, _ in rows} == {i: want[h, p][0] for i, h, p in rows}
+    if labelled == 0:
+        assert all("*" not in t.replace("{*}", "") or "/q/" in t for t, _ in want.values())
+    else:
+        assert all(abs(got[i].purity - want[h, p][1]) < 2e-6 for i, h, p in rows)
+        assert any("*" in t.replace("{*}", "") for t, _ in want.values())
+
+
+def test_url_rows_of_odd_input(spark):
+    """Null ids, conflicting labels (the worst counts), very long urls."""
+    long = "http://l.org/" + "s/" * 3000 + "end"
+    pages = spark.createDataFrame([(None, "http://a.org/x"), (1, "http://a.org/x"), (1, "http://a.org/x"), (2, long), (3, long)], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "page_id long, good int")
+    got = url_filter.judge(pages, labels, rules=[]).collect()
+    assert Counter((r.page_id, r.verdict) for r in got) == {(None, "block"): 1, (1, "block"): 2, (2, "block"): 1, (3, "block"): 1}
+
+
 def test_url_templates_by_purity(spark):
     rows = [(i, f"http://a.net/good/{i}") for i in range(60)] + [(100 + i, f"http://a.net/spam/x{i}.html") for i in range(60)] + [(300 + i, f"http://b.net/tag/word{chr(97 + i % 26)}{chr(97 + i // 26)}/p") for i in range(80)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
