@@ -137,8 +137,8 @@ def fragmentation(contingency: DataFrame, least: float) -> DataFrame:
 
 
 def label_at(labels: DataFrame, wanted: DataFrame, missing: str, id: str = "id", period: str = "period") -> DataFrame:
-    """The label of each wanted (id, period), ``missing`` where there is none."""
-    return wanted.join(labels.select(id, period, "label"), [id, period], "left").withColumn("label", F.coalesce("label", F.lit(missing)))
+    """The label of each wanted (id, period), ``missing`` where there is none; it takes the place of a label that ``wanted`` has."""
+    return wanted.drop("label").join(labels.select(id, period, "label"), [id, period], "left").withColumn("label", F.coalesce("label", F.lit(missing)))
 
 
 def quoted(value: Column) -> Column:
