@@ -333,6 +333,23 @@ def _cross(share: float, most: int):
     return run
 
 
+def _open(share: float):
+    """The rows of each list that may have links to rows of other parts by sizes and bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name, members in zip(batch.column(0), batch.column(1)):
+                rows, at = members.as_py(), set()
+                for i, others, _ in _candidates(rows, share):
+                    at.add(i)
+                    at.update(others.tolist())
+                found += [(name.as_py(), *(rows[i][k] for k in ("side", "nid", "part", "size"))) for i in sorted(at)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(5)], ["list", "side", "nid", "part", "size"])
+
+    return run
+
+
 def _joined(share: float, similarity: float):
     """Links that join the parts of a list, found by comparing all its candidates: one less than the parts at most."""
 
@@ -483,8 +500,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         # lists with rows that had more candidates and are still in different components: all of those are compared where they meet
         again = parted(listed.join(small_side(found.where("more").select("list").distinct()), "list", "left_semi"), parts)
         again = materialize(again.join(again.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("list"), "list", "left_semi"))
+        # whole sets move only for rows whose bitmaps still leave room for a link
+        whole = again.join(bitmaps, "nid").groupBy("list").agg(F.collect_list(F.struct("side", "nid", "part", "size", "bits")).alias("rows"))
+        again = materialize(whole.mapInArrow(_open(share), "list long, side long, nid long, part long, size long"))
         if not again.isEmpty():
-            sets = _sets_of(again, rows, names, width, "binary").withColumn("size", (F.octet_length("s") / 8).cast("long"))
+            sets = _sets_of(again, rows, names, width, "binary")
             whole = again.join(sets, "nid").groupBy("list").agg(F.collect_list(F.struct("side", "nid", "part", "size", "s")).alias("rows")).select("rows")
             more = materialize(whole.mapInArrow(_joined(share, similarity), "u long, v long"))
             parts = materialize(connected_components(edges.union(more)))
