@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import chat_format, exact_dedup, importance, license_scan, packing, quality_rules, simhash, source_mixing, substring_dedup, url_filter
+from meshwork.llm import chat_format, exact_dedup, filter_audit, html_text, importance, license_scan, packing, quality_rules, simhash, source_mixing, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_source_mixing": source_mixing.op9_source_mixing,
         "op10_packing": packing.op10_packing,
+        "op11_html_text": html_text.op11_html_text,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.ORACLE_OP5,
         "op7_exact_dedup": exact_dedup.ORACLE_OP7,
         "op9_source_mixing": source_mixing.ORACLE_OP9,
+        "op12_filter_audit": filter_audit.ORACLE_OP12,
     }
