@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import chat_format, exact_dedup, filter_audit, html_text, importance, license_scan, packing, quality_rules, simhash, source_mixing, substring_dedup, url_filter
+from meshwork.llm import chat_format, exact_dedup, filter_audit, html_text, importance, license_scan, packing, quality_rules, simhash, source_mixing, substring_dedup, token_alignment, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": packing.op10_packing,
         "op11_html_text": html_text.op11_html_text,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
