@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,40 +29,34 @@ from meshwork.llm.tokens import PATTERN, as_ranks, byte_alphabet
 from meshwork.session import materialize, table
 
 #: Bytes of text that DuckDB aligns at a time, and entries (document, pair) of a chunk; one longer document makes a slice or chunk of its own.
-SLICE = 2 << 20
-ENTRIES = 1 << 21
+SLICE = 1 << 19
+ENTRIES = 1 << 20
 ALIGNED = "chunk long, whole boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, counts binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 FIGURES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
 LINKS = """
-CREATE OR REPLACE TEMP TABLE a_in AS SELECT a.doc, a.s, a.id, b.id AS b_id, a.s = b.s AS border FROM a ASOF JOIN b ON a.s >= b.s;
-CREATE OR REPLACE TEMP TABLE a_of AS SELECT *, sum(border::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM a_in;
+CREATE OR REPLACE TEMP TABLE a_of AS SELECT *, (sum(border::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING))::INT AS g
+    FROM (SELECT a.doc, a.s, a.e, a.id, b.id AS b_id, a.s = b.s AS border FROM a ASOF JOIN b ON a.s >= b.s);
 CREATE OR REPLACE TEMP TABLE borders AS SELECT s, g FROM a_of WHERE border;
 CREATE OR REPLACE TEMP TABLE b_of AS SELECT b.doc, b.s, b.id, b.s = o.s AS border, o.g FROM b ASOF JOIN borders o ON b.s >= o.s;
+CREATE OR REPLACE TEMP TABLE b_inside AS SELECT s, id, g FROM b_of WHERE NOT border;
 """
 PAIRS = """
 SELECT doc, key, count(*) AS n FROM (
-    SELECT doc, id::BIGINT * $n_b + b_id AS key FROM a_in
-    UNION ALL SELECT a.doc, a.id::BIGINT * $n_b + b.id FROM a JOIN b ON b.s > a.s AND b.s < a.e)
+    SELECT doc, id::BIGINT * $n_b + b_id AS key FROM a_of
+    UNION ALL SELECT a.doc, a.id::BIGINT * $n_b + b.id FROM (SELECT * FROM a_of WHERE g IN (SELECT g FROM b_inside)) a JOIN b_inside b ON b.s > a.s AND b.s < a.e)
 GROUP BY doc, key ORDER BY doc, key
 """
-GROUPS = """
-SELECT doc, substr(string_agg(CASE WHEN NOT border THEN ',' WHEN side = 0 THEN ';' ELSE '|' END || id, '' ORDER BY g, side, s), 2) AS groups,
-    count(*) FILTER (side = 0) AS n_a, count(*) FILTER (side = 1) AS n_b, count(*) FILTER (side = 0 AND border) AS n_groups
-FROM (SELECT doc, s, id, border, g, 0 AS side FROM a_of UNION ALL SELECT doc, s, id, border, g, 1 FROM b_of)
-GROUP BY doc ORDER BY doc
-"""
+#: Groups of the tokens of each side in their order.
+NUMBERS = ("SELECT g FROM a_of ORDER BY s", "SELECT g FROM b_of ORDER BY s")
 
 
 class ByteLevel:
-    """Ids of a byte-level ``tokenizers`` file for a text as it is, strings of special tokens included, and the bytes of each id."""
+    """Ids of a byte-level ``tokenizers`` file for a space and the text as it is, strings of special tokens included, and the bytes of each id."""
 
     def __init__(self, path: str):
-        import tokenizers
-
-        self.slow = tokenizers.Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         alphabet = byte_alphabet()
@@ -75,16 +70,21 @@ class ByteLevel:
 
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.one(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.one(" " + t) for t in texts]
 
-    def one(self, text: str) -> list[int]:
+    def one(self, text: str) -> np.ndarray:
         if self.fast:
             try:
-                return self.fast.encode_ordinary(text)
+                return np.frombuffer(array("I", self.fast.encode_ordinary(text)), np.uint32)
             except ValueError:  # a run of about a million spaces is beyond the stack of its splitter
                 pass
-        return self.slow.encode(text, add_special_tokens=False).ids
+        if self.slow is None:
+            import tokenizers
+
+            self.slow = tokenizers.Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class Pieces:
@@ -99,16 +99,48 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(array("i", x), np.int32) if x else np.empty(0, np.int32) for x in self.model.encode(texts, num_threads=1)]
+
+
+class Bytes:
+    """The bytes of a vocabulary, one entry after the other."""
+
+    def __init__(self, entries: list[bytes]):
+        self.size = np.array([len(x) for x in entries], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.all = np.frombuffer(b"".join(entries), np.uint8)
 
+    def of(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens, joined."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.all[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
 
-def _intervals(ids: list[list[int]], size: np.ndarray) -> pa.Table:
+
+def _intervals(ids: list[np.ndarray], size: np.ndarray) -> pa.Table:
     """(doc, id, s, e): the tokens of all documents, one after the other over their bytes."""
-    n = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+    flat = np.concatenate(ids)
     end = np.cumsum(size[flat])
-    return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), n), "id": flat.astype(np.int32), "s": end - size[flat], "e": end})
+    small = np.int32 if end[-1] < 2**31 else np.int64
+    return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids]), "id": flat.astype(np.int32), "s": (end - size[flat]).astype(small), "e": end.astype(small)})
+
+
+def _group_texts(a: list[np.ndarray], b: list[np.ndarray], g_a: np.ndarray, g_b: np.ndarray, signed: Bytes) -> list[bytes]:
+    """Each document's groups as text: a token's place is its own number plus the tokens of the other side in groups before (of B: up to) its own.
+
+    ``signed`` has the ids after ``;``, then after ``|``, then after a comma.
+    """
+    n_a, n_b, groups, ids = len(g_a), len(g_b), int(g_a[-1]) + 1, len(signed.size) // 3
+    before_b, upto_a = np.searchsorted(g_b, np.arange(groups)), np.searchsorted(g_a, np.arange(groups), "right")
+    place = np.concatenate([np.arange(n_a) + before_b[g_a], np.arange(n_b) + upto_a[g_b]])
+    kind = np.concatenate([np.where(np.diff(g_a, prepend=-1) > 0, 0, 2), np.where(np.diff(g_b, prepend=-1) > 0, 1, 2)])
+    word = np.empty(n_a + n_b, np.int64)
+    word[place] = kind * ids + np.concatenate([*a, *b])
+    joined = signed.of(word)
+    tokens = np.cumsum([0] + [len(x) + len(y) for x, y in zip(a, b)])
+    cuts = np.concatenate([[0], np.cumsum(signed.size[word])])[tokens].tolist()
+    return [joined[x + 1 : y] for x, y in zip(cuts, cuts[1:])]
 
 
 def _aligned(a_path: str, b_path: str):
@@ -116,7 +148,8 @@ def _aligned(a_path: str, b_path: str):
         import duckdb
 
         left, right = ByteLevel(a_path), Pieces(b_path)
-        size_a, size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (left, right))
+        bytes_a, bytes_b = Bytes(left.bytes), Bytes(right.bytes)
+        signed = Bytes([f"{sign}{i}".encode() for sign in ";|," for i in range(max(len(left.bytes), len(right.bytes)))])
         con = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
         chunk, held, entries = TaskContext.get().partitionId() << 32, [], 0
 
@@ -130,20 +163,22 @@ def _aligned(a_path: str, b_path: str):
             return rows(none | {"chunk": [chunk], "whole": [True], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
 
         for ids, texts in _slices(batches):
-            a, b = left.encode([" " + t for t in texts]), right.encode(texts)
+            a, b = left.encode(texts), right.encode(texts)
             for i, t in enumerate(texts):
                 raw = b" " + t.encode()
-                if not t or b"".join(map(left.bytes.__getitem__, a[i])) != raw or b"".join(map(right.bytes.__getitem__, b[i])) != raw:
-                    a[i], b[i] = [], []
+                if not t or bytes_a.of(a[i]) != raw or bytes_b.of(b[i]) != raw:
+                    a[i] = b[i] = np.empty(0, np.int32)
             n, zero = len(texts), [0] * len(texts)
             out = {"doc_id": ids, "n_a": [len(x) for x in a], "n_b": [len(x) for x in b], "n_groups": zero.copy(), "n_links": zero.copy(), "groups_sha256": [""] * n, "keys": [b""] * n, "counts": [b""] * n}
-            if any(a):
-                con.register("a", _intervals(a, size_a))
-                con.register("b", _intervals(b, size_b))
+            if any(map(len, a)):
+                con.register("a", _intervals(a, bytes_a.size))
+                con.register("b", _intervals(b, bytes_b.size))
                 con.execute(LINKS)
-                for doc, groups, _, _, n_groups in con.execute(GROUPS).fetchall():
-                    out["groups_sha256"][doc] = hashlib.sha256(groups.encode()).hexdigest()
-                    out["n_groups"][doc] = n_groups
+                g_a, g_b = (con.execute(q).fetchnumpy()["g"] - 1 for q in NUMBERS)
+                for i, groups in enumerate(_group_texts(a, b, np.asarray(g_a), np.asarray(g_b), signed)):
+                    if groups:
+                        out["groups_sha256"][i] = hashlib.sha256(groups).hexdigest()
+                        out["n_groups"][i] = groups.count(b"|")
                 pairs = con.execute(PAIRS, {"n_b": len(right.bytes)}).fetchnumpy()
                 doc, keys, counts = (np.asarray(pairs[c]).astype(np.int64) for c in ("doc", "key", "n"))
                 cuts = np.searchsorted(doc, np.arange(n + 1))
