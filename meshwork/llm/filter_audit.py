@@ -1,7 +1,8 @@
 """How filters interact: what each removes, repeats or alone finds, in every order in which they can be applied.
 
-A document's failures are a mask of five bits. Four depend on its text alone. For the fifth, copies of texts with smaller ids, rows
-are routed by the XXH64 fingerprint of the text: within a buffer, then within a partition, chains of the texts under one
+A document's failures are a mask of five bits. Four depend on its text alone and are found in one scan, with the XXH64 fingerprint of the
+text. For the fifth, copies of texts with smaller ids, only rows whose fingerprint several ids have need their texts: they are routed by
+fingerprint as an RDD. Within a buffer, then within a partition, chains of the texts under one
 fingerprint hold each text in full with its smallest id, and the rows with other ids are emitted as copies. What a buffer has already found
 to be a copy goes on without its text, so that a text that fills a third of the table meets its partition only once a buffer.
 A partition is sorted by fingerprint and id, by a sort that spills, so only the texts of one fingerprint are held at once.
@@ -17,11 +18,12 @@ from functools import cache
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.session import table
+from meshwork.session import materialize, small_side, table
 
 FILTERS = "ABCDE"
 COPY = 16
@@ -43,15 +45,20 @@ def text_mask(raw: bytes, n_chars: int) -> int:
     return (n < 50) + 2 * (100 * len(set(words)) < 65 * n) + 4 * (100 * capitals > 5 * n_chars) + 8 * (len(raw.translate(None, SYMBOLS)) < len(raw))
 
 
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(3).to_pylist()
+        found = pa.array([text_mask(t.encode(), len(t)) for t in texts], pa.int32())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], found], ["doc_id", "part", "fingerprint", "mask"])
+
+
 def _route(rows: Iterator[Row]) -> Iterator[tuple]:
     """((fingerprint, whether to compare, id), (id, part, mask, text)): copies of a row of the same buffer go without text."""
-    import xxhash
-
     chains: dict[int, list[list]] = {}
     held = 0
 
-    def decided(doc_id: int | None, part: str, mask: int) -> tuple:
-        return ((doc_id or 0) * ODD % (1 << 64), 0, 0), (doc_id, part, mask, None)
+    def decided(doc_id: int, part: str, mask: int) -> tuple:
+        return (doc_id * ODD % (1 << 64), 0, 0), (doc_id, part, mask | COPY, None)
 
     def flush() -> Iterator[tuple]:
         for fingerprint, chain in chains.items():
@@ -60,24 +67,20 @@ def _route(rows: Iterator[Row]) -> Iterator[tuple]:
                     yield (fingerprint, 1, smallest), (smallest, part, mask, text)
         chains.clear()
 
-    for doc_id, part, text in rows:
-        raw = text.encode()
-        mask = text_mask(raw, len(text))
-        if doc_id is None:  # neither smaller than another id nor preceded by one
-            yield decided(doc_id, part, mask)
-            continue
-        chain = chains.setdefault(xxhash.xxh64_intdigest(raw), [])
+    for doc_id, part, fingerprint, text in rows:
+        chain = chains.setdefault(fingerprint, [])
         entry = next((e for e in chain if e[0] == text), None)
         if entry is None:
-            chain.append([text, doc_id, mask, [part]])
+            raw = text.encode()
+            chain.append([text, doc_id, text_mask(raw, len(text)), [part]])
             held += len(raw) + 200
         elif doc_id > entry[1]:
-            yield decided(doc_id, part, mask | COPY)
+            yield decided(doc_id, part, entry[2])
         elif doc_id == entry[1]:
             entry[3].append(part)
         else:
             for other in entry[3]:
-                yield decided(entry[1], other, mask | COPY)
+                yield decided(entry[1], other, entry[2])
             entry[1], entry[3] = doc_id, [part]
         if held > BUFFER:
             yield from flush()
@@ -107,10 +110,16 @@ def masks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str
     that text. A row without an id is no copy, and none is a copy of it. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit(""))).rdd
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    routed = rows.mapPartitions(_route).repartitionAndSortWithinPartitions(parts, lambda key: key[0])
-    return spark.createDataFrame(routed.mapPartitions(_decide), "doc_id long, part string, mask int", verifySchema=False)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "part", F.xxhash64("text").alias("fingerprint"), "text")
+    scanned = materialize(rows.mapInArrow(_masks, "doc_id long, part string, fingerprint long, mask int"))
+    ids = scanned.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = small_side(materialize(ids.where("low < high").select("fingerprint")), 1_000_000)
+    alone = scanned.join(shared, "fingerprint", "left_anti").unionByName(scanned.where("doc_id is null").join(shared, "fingerprint", "left_semi")).select("doc_id", "part", "mask")
+    compared = rows.where("doc_id is not null").join(shared, "fingerprint", "left_semi").select("doc_id", "part", "fingerprint", "text").rdd
+    parts = max(compared.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    routed = compared.mapPartitions(_route).repartitionAndSortWithinPartitions(parts, lambda key: key[0])
+    return alone.unionByName(spark.createDataFrame(routed.mapPartitions(_decide), "doc_id long, part string, mask int", verifySchema=False))
 
 
 def mask_counts(masked: DataFrame, labels: DataFrame) -> RDD:

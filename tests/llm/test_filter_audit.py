@@ -50,22 +50,23 @@ def test_audit_against_brute_force(spark, frame, sample, odd, labels):
     assert sorted(map(tuple, got.collect())) == brute(rows, labels)
 
 
-def test_buffers_and_colliding_fingerprints(spark, frame, labels, monkeypatch):
+def test_buffers_and_colliding_fingerprints(monkeypatch):
     """All texts under one fingerprint, buffers of a few rows, many copies of one text."""
-    import xxhash
-
-    rows = [(i, "the hot text" if i % 3 else f"text {i % 10}", "a" if i % 2 else None) for i in range(300)]
-    want = brute(rows, labels)
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda raw, seed=0: 7)
+    rows = [(i, "the hot text" if i % 3 else f"text {i % 10}", "a" if i % 2 else "") for i in range(300)]
     monkeypatch.setattr(filter_audit, "BUFFER", 1500)
-    routed = [x for at in range(0, 300, 60) for x in filter_audit._route(iter(rows[at : at + 60] and [(d, s or "", t) for d, t, s in rows[at : at + 60]]))]
+    routed = [x for at in range(0, 300, 60) for x in filter_audit._route((d, s, 7, t) for d, t, s in rows[at : at + 60])]
     assert sum(v[3] is not None for _, v in routed) < 120
     masked = list(filter_audit._decide(iter(sorted(routed, key=lambda x: x[0]))))
     first = {}
     for d, t, _ in rows:
         first.setdefault(t, d)
-    assert {d for d, _, m in masked if m & 16} == {d for d, t, _ in rows if d > first[t]}
-    assert sorted(map(tuple, filter_audit.audit(frame(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect())) == want
+    assert len(masked) == 300 and {d for d, _, m in masked if m & 16} == {d for d, t, _ in rows if d > first[t]}
+
+
+def test_no_copies_and_only_copies(spark, frame, labels):
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for rows in ([(i, f"text {i}", "a") for i in range(30)], [(i // 2, "one text", "a") for i in range(300)], [(None, "one text", "a")] * 3 + [(1, "one text", "b"), (2, "one text", "b")]):
+        assert sorted(map(tuple, filter_audit.audit(frame(rows), said).collect())) == brute(rows, labels)
 
 
 def test_empty_tables(spark, frame, sample):
