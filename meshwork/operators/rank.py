@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwork.session import materialize
+
 
 def average_rank(x: str, by: list[str] | None = None) -> Column:
     """1-based rank of ascending x; ties share the mean of their ranks."""
@@ -13,6 +15,40 @@ def average_rank(x: str, by: list[str] | None = None) -> Column:
     return F.rank().over(own) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
+#: Ranges of the first and of the second level into which values are dealt to be ranked.
+RANGES = 64
+
+
+def with_ranks(df: DataFrame, x: str, name: str = "rank", by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """Adds the 1-based rank of ascending x within ``by``, ties sharing the mean of their ranks, and ``<name>_n``, how many are ranked.
+
+    No task sorts the table, nor a key of ``by`` that holds most of it. Equal values are counted first; the values fall into ranges by
+    quantiles of values, in two levels; a window ranks within (key, range), and the counts of the ranges below, at most
+    (ranges + 1) squared a key, are added. A null x has no rank.
+    """
+    by = by or []
+    steps = [i / ranges for i in range(1, ranges)]
+    below = lambda s: F.coalesce(F.size(F.filter(s, lambda e: e < F.col(x))), F.lit(0))
+    v = materialize(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_t")))  # else nested ranks repeat the plan below them
+    v = v.join(F.broadcast(v.agg(F.percentile_approx(x, steps).alias("_s")))).withColumn("_p", below("_s")).drop("_s")
+    inner = v.groupBy("_p").agg(F.percentile_approx(x, steps).alias("_s"))  # a row for each range of the first level
+    v = v.join(F.broadcast(inner), "_p").withColumn("_q", F.col("_p") * (ranges + 1) + below("_s")).drop("_s", "_p")
+    ends = v.groupBy(*by, "_q").agg(F.sum("_t").alias("_t"))
+    ends = ends.groupBy(*by).agg(F.collect_list(F.struct("_q", "_t")).alias("_e"), F.sum("_t").alias(f"{name}_n"))
+    add = lambda e: F.aggregate(e, F.lit(0).cast("long"), lambda s, r: s + r["_t"])
+    offset = ends.select(*by, f"{name}_n", F.explode(F.transform("_e", lambda a: F.struct(a["_q"].alias("_q"), add(F.filter("_e", lambda b: b["_q"] < a["_q"])).alias("_o")))).alias("_r"))
+    offset = offset.select(*by, f"{name}_n", "_r._q", "_r._o")
+    here = Window.partitionBy(*by, "_q").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = v.withColumn("_h", F.sum("_t").over(here)).join(offset, [*by, "_q"])
+    ranks = placed.select(*by, x, (F.col("_o") + F.col("_h") - (F.col("_t") - 1) / 2.0).alias(name), f"{name}_n")
+    return df.join(ranks, [*by, x], "left").select(*df.columns, name, f"{name}_n")
+
+
+def with_within_ranks(df: DataFrame, x: str, name: str, by: list[str]) -> DataFrame:
+    """Adds (rank - 0.5) / n within groups, like ``within_rank``, for groups of any size."""
+    return with_ranks(df, x, "_w", by).withColumn(name, (F.col("_w") - 0.5) / F.col("_w_n")).drop("_w", "_w_n")
+
+
 def within_rank(x: str, by: list[str]) -> Column:
     """(average rank - 0.5) / n within groups."""
     return (average_rank(x, by) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(*by))

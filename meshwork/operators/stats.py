@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalar import ratio
-from meshwork.operators.rank import average_rank, within_rank
+from meshwork.operators.rank import with_ranks, with_within_ranks
 
 
 def prepare(df: DataFrame, y: str, group: str, region: str, min_region: int = 3, min_group: int = 5, rounds: int = 3) -> DataFrame:
@@ -31,8 +31,9 @@ def prepare(df: DataFrame, y: str, group: str, region: str, min_region: int = 3,
 def ranked(df: DataFrame, y: str, region: str | None = None) -> DataFrame:
     """Adds rank: the average rank, or (rank - 0.5) / n within a region and then ranked again."""
     if region is None:
-        return df.withColumn("rank", average_rank(y))
-    return df.withColumn("_w", F.round(within_rank(y, [region]), 12)).withColumn("rank", average_rank("_w")).drop("_w")
+        return with_ranks(df, y).drop("rank_n")
+    within = with_within_ranks(df, y, "_v", [region]).withColumn("_v", F.round("_v", 12))
+    return with_ranks(within, "_v").drop("_v", "rank_n")
 
 
 def kruskal(df: DataFrame, y: str, group: str, region: str | None = None) -> DataFrame:
@@ -49,7 +50,7 @@ def kruskal(df: DataFrame, y: str, group: str, region: str | None = None) -> Dat
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """(by, rho, n); null where a side is constant."""
     by = by or []
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
+    r = with_ranks(with_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_x", by), y, "_y", by)
     g = r.groupBy(*by) if by else r.groupBy()
     out = g.agg(F.covar_pop("_x", "_y").alias("c"), F.stddev_pop("_x").alias("sx"), F.stddev_pop("_y").alias("sy"), F.count(F.lit(1)).alias("n"))
     return out.select(*by, ratio(F.col("c"), F.col("sx") * F.col("sy")).alias("rho"), "n")
@@ -57,9 +58,9 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
 
 def residual_ranks(df: DataFrame, x: str, y: str) -> DataFrame:
     """Adds residual: rank of y less its least-squares fit on the rank of x."""
-    r = df.withColumn("_x", average_rank(x)).withColumn("_y", average_rank(y))
+    r = with_ranks(with_ranks(df, x, "_x"), y, "_y")
     fit = r.agg(F.regr_slope("_y", "_x").alias("_a"), F.regr_intercept("_y", "_x").alias("_b"))
-    return r.join(F.broadcast(fit)).withColumn("residual", F.col("_y") - F.col("_a") * F.col("_x") - F.col("_b")).drop("_x", "_y", "_a", "_b")
+    return r.join(F.broadcast(fit)).withColumn("residual", F.col("_y") - F.col("_a") * F.col("_x") - F.col("_b")).drop("_x", "_y", "_x_n", "_y_n", "_a", "_b")
 
 
 def permutations_of(df: DataFrame, id: str, value: str, n: int, region: list[str] | None = None) -> DataFrame:
@@ -94,7 +95,7 @@ def upper_p(null: DataFrame, value: str, observed: DataFrame, obs: str) -> DataF
 
 def mann_whitney(df: DataFrame, y: str, is_first) -> DataFrame:
     """One row: U of the first sample and the normal approximation's z with tie and continuity correction."""
-    r = df.where(F.col(y).isNotNull()).withColumn("rank", average_rank(y)).withColumn("_f", is_first)
+    r = with_ranks(df.where(F.col(y).isNotNull()), y).withColumn("_f", is_first)
     t = r.groupBy("rank").agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     a = r.agg(F.sum(F.when(F.col("_f"), F.col("rank"))).alias("r1"), F.count_if("_f").cast("double").alias("n1"), F.count_if(~F.col("_f")).cast("double").alias("n2")).join(F.broadcast(t))
     u, n = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") + F.col("n2")
@@ -114,7 +115,7 @@ def wilcoxon_exact(n: int, w: float) -> float:
 
 def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: W+, W- and n of the non-zero differences, ranks of absolute values averaged over ties."""
-    d = df.withColumn("_d", F.round(F.col(x) - F.col(y), 9)).where("_d <> 0").withColumn("_a", F.abs("_d")).withColumn("rank", average_rank("_a"))
+    d = with_ranks(df.withColumn("_d", F.round(F.col(x) - F.col(y), 9)).where("_d <> 0").withColumn("_a", F.abs("_d")), "_a")
     zero = F.lit(0.0)
     return d.agg(F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("rank"))), zero).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("rank"))), zero).alias("w_minus"), F.count(F.lit(1)).alias("n"))
 

@@ -34,12 +34,12 @@ def sample(spark, sf):
 
 @query(sql(f"SELECT id, {avg_rank('y')} AS rank FROM t"))
 def average_ranks(spark, sf):
-    return sample(spark, sf).select("id", rank.average_rank("y").alias("rank"))
+    return rank.with_ranks(sample(spark, sf), "y").select("id", "rank")
 
 
 @query(sql(f"SELECT id, round(({avg_rank('y', 'r')} - 0.5) / count(*) OVER (PARTITION BY r), 9) AS w FROM t"))
 def within_region_rank(spark, sf):
-    return sample(spark, sf).select("id", R(rank.within_rank("y", ["r"]), 9).alias("w"))
+    return rank.with_within_ranks(sample(spark, sf), "y", "w", ["r"]).select("id", R(F.col("w"), 9).alias("w"))
 
 
 KW = "SELECT {by}12 / (n * (n + 1)) * q - 3 * (n + 1) AS h0, n, k FROM (SELECT {by}sum(s * s / c) AS q, CAST(sum(c) AS DOUBLE) AS n, count(*) AS k FROM (SELECT {by}{g}, sum(rank) AS s, count(*) AS c FROM {src} GROUP BY {by}{g}) {group})"
@@ -82,7 +82,7 @@ def spearman_by_district(spark, sf):
 @query(sql(f"SELECT 'all' AS level, round(corr(a, b), 6) AS rho FROM (SELECT {avg_rank('y')} AS a, {avg_rank('id')} AS b FROM t) UNION ALL SELECT 'within', round(corr(a, b), 6) FROM (SELECT {avg_rank('wy')} AS a, {avg_rank('wi')} AS b FROM (SELECT round(({avg_rank('y', 'r')} - 0.5) / count(*) OVER (PARTITION BY r), 12) AS wy, round(({avg_rank('id', 'r')} - 0.5) / count(*) OVER (PARTITION BY r), 12) AS wi FROM t)) UNION ALL SELECT 'between', round(corr(a, b), 6) FROM (SELECT {avg_rank('my')} AS a, {avg_rank('mi')} AS b FROM (SELECT round(median(y), 9) AS my, round(median(id), 9) AS mi FROM t GROUP BY r))"))
 def spearman_levels(spark, sf):
     s = sample(spark, sf)
-    w = s.select(F.round(rank.within_rank("y", ["r"]), 12).alias("y"), F.round(rank.within_rank("id", ["r"]), 12).alias("id"))
+    w = rank.with_within_ranks(rank.with_within_ranks(s, "y", "_y", ["r"]), "id", "_id", ["r"]).select(F.round("_y", 12).alias("y"), F.round("_id", 12).alias("id"))
     b = s.groupBy("r").agg(F.round(F.median("y"), 9).alias("y"), F.round(F.median("id"), 9).alias("id"))
     parts = [stats.spearman(d, "y", "id").select(F.lit(n).alias("level"), R(F.col("rho")).alias("rho")) for n, d in (("all", s), ("within", w), ("between", b))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
