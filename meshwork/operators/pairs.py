@@ -57,6 +57,73 @@ def knn_edges(pairs: DataFrame, k: int, by: list[str] | None = None, nearest: bo
     return edge.agg(F.max("score").alias("score"), (F.count(F.lit(1)) == 2).alias("mutual"))
 
 
+def _dealt(nodes: DataFrame, blocks: int, extra: list[str]) -> DataFrame:
+    """Each node once for each pair of blocks (p, q), p <= q, of which its own is one."""
+    keyed = nodes.select(F.col("id").cast("long").alias("id"), "x", *extra, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return keyed.withColumn("other", other).select("id", "x", *extra, "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+
+def products(pdf: pd.DataFrame, metric: str):
+    """(rows, columns, scores) of the pairs of blocks of a group, in slices of rows: row numbers of ``pdf`` and a matrix.
+
+    ``metric`` is ``cosine``, NaN where a norm is zero, or ``euclid``, by differences, so that equal vectors have distance zero.
+    """
+    p, q = int(pdf.p.iloc[0]), int(pdf.q.iloc[0])
+    m, own = np.array(pdf.x.tolist(), float), pdf.own.to_numpy()
+    a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    size = np.linalg.norm(m, axis=1)
+    size[size == 0] = np.nan
+    step = 1024 if metric == "cosine" else max(1, (1 << 22) // max(1, len(b) * m.shape[1]))
+    for at in range(0, len(a), step):
+        rows = a[at : at + step]
+        if metric == "cosine":
+            yield rows, b, m[rows] @ m[b].T / (size[rows][:, None] * size[b][None, :])
+        else:
+            yield rows, b, np.sqrt(np.square(m[rows][:, None, :] - m[b][None, :, :]).sum(axis=2))
+
+
+def block_pairs(nodes: DataFrame, metric: str, blocks: int, above: float | None = None) -> DataFrame:
+    """(x, y, score) of all pairs x < y, or of those that score more than ``above``, by products of blocks of nodes (id, x).
+
+    What leaves a task is the pairs that pass; each node is sent to as many tasks as there are blocks. A cosine with a vector of norm zero is null.
+    """
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        ids, within, out = pdf.id.to_numpy(), pdf.p.iloc[0] == pdf.q.iloc[0], []
+        for rows, columns, s in products(pdf, metric):
+            keep = ids[rows][:, None] < ids[columns][None, :] if within else ids[rows][:, None] != ids[columns][None, :]
+            if above is not None:
+                keep &= s > above
+            i, j = np.nonzero(keep)
+            u, v = ids[rows[i]], ids[columns[j]]
+            out.append(pd.DataFrame({"x": np.minimum(u, v), "y": np.maximum(u, v), "score": s[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "score": []})
+
+    found = _dealt(nodes, blocks, []).groupBy("p", "q").applyInPandas(score, "x long, y long, score double")
+    return found.withColumn("score", F.nanvl("score", F.lit(None)))
+
+
+def block_sums(nodes: DataFrame, blocks: int) -> DataFrame:
+    """(id, label, total, n): the sum of each node's Euclidean distances to the other nodes of each label, and their number; nodes are (id, x, label)."""
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        ids, (code, names), within, out = pdf.id.to_numpy(), pd.factorize(pdf.label, sort=True), pdf.p.iloc[0] == pdf.q.iloc[0], []
+        one = np.zeros((len(pdf), len(names)))
+        one[np.arange(len(pdf)), code] = 1
+        for rows, columns, s in products(pdf, "euclid"):
+            other = (ids[rows][:, None] != ids[columns][None, :]).astype(float)
+            for own, total, n in [(rows, s @ one[columns], other @ one[columns])] + ([] if within else [(columns, s.T @ one[rows], other.T @ one[rows])]):
+                out.append(pd.DataFrame({"id": np.repeat(ids[own], len(names)), "label": np.tile(names, len(own)), "total": total.ravel(), "n": n.ravel().astype(np.int64)}))
+        return pd.concat(out).query("n > 0") if out else pd.DataFrame({"id": [], "label": [], "total": [], "n": []})
+
+    kind = dict(nodes.dtypes)["label"]
+    part = _dealt(nodes, blocks, ["label"]).groupBy("p", "q").applyInPandas(sums, f"id long, label {kind}, total double, n long")
+    return part.groupBy("id", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def block_knn(nodes: DataFrame, k: int, blocks: int, id: str = "id", vector: str = "x", digits: int = 9, by: list[str] | None = None) -> DataFrame:
     """(by, src, dst, score): each node's k most cosine-similar others in its slice, by blocks of nodes.
 

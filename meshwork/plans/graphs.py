@@ -79,15 +79,16 @@ PAIRS = f"ps AS (SELECT a.id AS x, b.id AS y, {COS} AS score FROM fx_nodes a JOI
 EDGES = PAIRS + ", " + knn_sql("ps")
 
 
-def cosine_pairs(spark, sf):
-    return pairs.all_pairs(fx.nodes(spark, sf), pairs.cosine(F.col("a.x"), F.col("b.x")))
-
-
 def n_blocks(n):
     """Blocks of about 1,024 nodes, four at least."""
     return max(4, -(-n.count() // 1024))
 
 
+def cosine_pairs(spark, sf, above=None):
+    n = fx.nodes(spark, sf)
+    return pairs.block_pairs(n, "cosine", n_blocks(n), above)
+
+
 def edges(spark, sf):
     n = fx.nodes(spark, sf)
     return pairs.block_edges(n, 8, n_blocks(n))
@@ -95,7 +96,7 @@ def edges(spark, sf):
 
 @query(with_views("fx_nodes", more=PAIRS) + "SELECT x, y, round(score, 6) AS score FROM ps WHERE score > 0.2")
 def cosine_pairs_threshold(spark, sf):
-    return cosine_pairs(spark, sf).where("score > 0.2").select("x", "y", R(F.col("score")).alias("score"))
+    return cosine_pairs(spark, sf, 0.2).select("x", "y", R(F.col("score")).alias("score"))
 
 
 @query(with_views("fx_nodes", more=EDGES) + "SELECT x, y, round(score, 6) AS score, mutual FROM e")
@@ -112,7 +113,7 @@ def block_knn5(spark, sf):
 
 @query(with_views("fx_nodes", more=PAIRS + ", c(cut) AS (VALUES (0.1), (0.2), (0.3)), t AS (SELECT cut, x, y FROM ps, c WHERE score > cut), d AS (SELECT cut, id, count(*) AS d FROM (SELECT cut, x AS id FROM t UNION ALL SELECT cut, y FROM t) GROUP BY 1, 2)") + "SELECT CAST(cut AS DOUBLE) AS cut, CAST(sum(d) / 2 AS BIGINT) AS n_edges, count(*) AS n_linked, max(d) AS max_degree, any_value(k) - count(*) AS n_isolated, round(CAST(sum(d) AS DOUBLE) / any_value(k * (k - 1)), 6) AS density FROM d, (SELECT count(*) AS k FROM fx_nodes) GROUP BY 1")
 def threshold_sweep(spark, sf):
-    t = pairs.threshold_sweep(cosine_pairs(spark, sf), fx.nodes(spark, sf).count(), [0.1, 0.2, 0.3])
+    t = pairs.threshold_sweep(cosine_pairs(spark, sf, 0.1), fx.nodes(spark, sf).count(), [0.1, 0.2, 0.3])
     return t.withColumn("density", R(F.col("density"))).withColumn("n_isolated", F.col("n_isolated").cast("long"))
 
 
@@ -120,7 +121,8 @@ DISTANCES = f"ds AS (SELECT a.id AS x, b.id AS y, {DIST} AS score FROM fx_nodes
 
 
 def distances(spark, sf):
-    return pairs.all_pairs(fx.nodes(spark, sf), S.euclid(F.col("a.x"), F.col("b.x")))
+    n = fx.nodes(spark, sf)
+    return pairs.block_pairs(n, "euclid", n_blocks(n))
 
 
 @query(with_views("fx_nodes", more=DISTANCES + ", " + knn_sql("ds", nearest=True)) + "SELECT x, y, round(score, 6) AS distance, mutual FROM e")
@@ -179,7 +181,7 @@ LINKED = "lk AS (SELECT x, y FROM ps WHERE score > 0.35)"
 
 @query(with_views("fx_nodes", more=PAIRS + ", " + LINKED + ", bl AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk), cc(id, root) AS (SELECT id, id FROM fx_nodes UNION SELECT y, root FROM cc JOIN bl ON cc.id = bl.x), m AS (SELECT id, min(root) AS component FROM cc GROUP BY 1)") + "SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m")
 def connected_components(spark, sf):
-    link = cosine_pairs(spark, sf).where("score > 0.35")
+    link = cosine_pairs(spark, sf, 0.35)
     found = components.connected_components(link, "x", "y")
     out = fx.nodes(spark, sf).select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
     size = out.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -190,7 +192,7 @@ def connected_components(spark, sf):
 def components_by_label(spark, sf):
     """Components of the subgraphs that labels induce."""
     n = fx.nodes(spark, sf).select("id", "label")
-    link = cosine_pairs(spark, sf).where("score > 0.35").join(n.select(F.col("id").alias("x"), F.col("label").alias("i")), "x").join(n.select(F.col("id").alias("y"), F.col("label").alias("j")), "y").where("i = j")
+    link = cosine_pairs(spark, sf, 0.35).join(n.select(F.col("id").alias("x"), F.col("label").alias("i")), "x").join(n.select(F.col("id").alias("y"), F.col("label").alias("j")), "y").where("i = j")
     found = components.connected_components(link, "x", "y")
     return n.join(found, F.col("id") == F.col("node"), "left").groupBy("label").agg(F.countDistinct(F.coalesce("component", "id")).alias("n_components"))
 
