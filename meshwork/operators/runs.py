@@ -23,15 +23,19 @@ def contingencies(runs: DataFrame) -> DataFrame:
     return both.groupBy(F.col("p.run").alias("a"), F.col("q.run").alias("b"), F.col("p.label").alias("i"), F.col("q.label").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def pairwise_ari(runs: DataFrame) -> DataFrame:
-    """(a, b, n, ari) of all pairs of runs a < b: the adjusted Rand index over the nodes that both have; null where it isn't defined."""
+def ari_of(m: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, ari) of contingencies (keys, i, j, n): adjusted Rand indices, null where they aren't defined."""
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
-    m = contingencies(runs)
-    side = lambda c, name: m.groupBy("a", "b", c).agg(F.sum("n").alias("k")).groupBy("a", "b").agg(F.sum(two("k")).alias(name))
-    whole = m.groupBy("a", "b").agg(F.sum(two("n")).alias("same"), F.sum("n").alias("n"))
-    s = whole.join(side("i", "rows"), ["a", "b"]).join(side("j", "columns"), ["a", "b"])
+    side = lambda c, name: m.groupBy(*keys, c).agg(F.sum("n").alias("_k")).groupBy(*keys).agg(F.sum(two("_k")).alias(name))
+    whole = m.groupBy(*keys).agg(F.sum(two("n")).alias("same"), F.sum("n").alias("n"))
+    s = whole.join(side("i", "rows"), keys).join(side("j", "columns"), keys)
     expected = F.col("rows") * F.col("columns") / F.nullif(two("n"), F.lit(0.0))
-    return s.select("a", "b", "n", ratio(F.col("same") - expected, (F.col("rows") + F.col("columns")) / 2 - expected).alias("ari"))
+    return s.select(*keys, "n", ratio(F.col("same") - expected, (F.col("rows") + F.col("columns")) / 2 - expected).alias("ari"))
+
+
+def pairwise_ari(runs: DataFrame) -> DataFrame:
+    """(a, b, n, ari) of all pairs of runs a < b: the adjusted Rand index over the nodes that both have."""
+    return ari_of(contingencies(runs), ["a", "b"])
 
 
 def both_ends(pairs: DataFrame) -> DataFrame:

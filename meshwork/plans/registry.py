@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.plans import clusters, geometry, graphs, inference, outside, panels, relational, resamples, runs, summaries  # noqa: F401  they fill the register
+from meshwork.plans import clusters, fits, geometry, graphs, inference, outside, panels, relational, resamples, runs, summaries  # noqa: F401  they fill the register
 from meshwork.plans.base import ORACLE, QUERIES
 
 
