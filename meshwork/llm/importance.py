@@ -175,7 +175,7 @@ def resample(docs: DataFrame, good: DataFrame, share: float, doc_id: str = "doc_
 
 
 def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target are the labelled good documents; as large a part of all documents is kept as is good among the labelled."""
+    """(doc_id, log_weight, key, kept). The target are the labelled documents of quality 1 that aren't toxic; the part of all documents that is kept is that of quality 1 among the labelled."""
     labels = table(spark, sf_dir, "labels")
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]

@@ -73,6 +73,46 @@ def test_importance_against_plain_counts(frame, sample, odd, spark):
     assert all(abs(r.key - r.log_weight - importance.noise(r.doc_id)) < 1e-9 for r in have)
 
 
+def plain_grams(text):
+    """Buckets of the byte n-grams, one by one."""
+    data, out = (text or "").encode(), []
+    for n in (2, 4):
+        for i in range(len(data) - n + 1):
+            h = n
+            for b in data[i : i + n]:
+                h = h * 0x01000193 % 2**32 ^ b
+            h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+            out.append(h >> 18)
+    return out
+
+
+def test_importance_in_plain_python(frame, sample, spark):
+    """Nothing of the module under test but ``resample``."""
+    import math
+
+    import xxhash
+
+    rows = [r for r in sample if len(r[1] or "") < 1500][:40] + [(700, None, "a"), (None, "no id", "a"), (701, "x", "a"), (702, "twice", "a"), (702, "twice", "a")]
+    ids = {d for d, _, _ in rows[::3] if d is not None}
+    raw, target = Counter(), Counter()
+    for d, t, _ in rows:
+        raw.update(plain_grams(t))
+        if d in ids:
+            target.update(plain_grams(t))
+    p = lambda c, g: (c[g] + 1) / (sum(c.values()) + 2**14)
+    ratio = {g: math.log(p(target, g)) - math.log(p(raw, g)) for g in raw}
+    want = []
+    for d, t, _ in rows:
+        g = plain_grams(t)
+        weight = sum(ratio[x] for x in g) * 256 / max(len(g), 256)
+        u = (xxhash.xxh64_intdigest(str(d), 20) + 0.5) / 2.0**64
+        want.append((str(d), round(weight, 6), round(weight - math.log(-math.log(u)), 6)))
+    limit = sorted((k for _, _, k in want), reverse=True)[round(0.5 * len(rows)) - 1]
+    good = spark.createDataFrame([(d,) for d in ids], "doc_id long")
+    got = importance.resample(frame(rows), good, 0.5).collect()
+    assert sorted((str(r.doc_id), round(r.log_weight, 6), round(r.key, 6), r.kept) for r in got) == sorted((*w, w[2] >= limit) for w in want)
+
+
 def test_importance_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fit, held = labels.where("doc_id % 2 = 0 and quality = 1 and toxic = 0"), labels.where("doc_id % 2 = 1")
