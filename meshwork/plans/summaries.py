@@ -144,7 +144,7 @@ def label_lookup(spark, sf):
     return summary.label_at(lb, lb.select("id", F.add_months("period", 3).alias("period")), "none")
 
 
-PERIODS = [f"{y}-{m}-01" for y in (1995, 1996) for m in ("01", "04", "07", "10")]
+PERIODS = [f"{y}-{m}-01" for y in range(1995, 2002) for m in ("01", "04", "07", "10")]
 
 
 @query(label_sql("SELECT id, '\"' || id || '\"'" + "".join(f" || ';' || coalesce('\"' || max(label) FILTER (period = DATE '{p}') || '\"', '')" for p in PERIODS) + " AS line FROM lb GROUP BY 1", LABELS))

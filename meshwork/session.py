@@ -35,12 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the context's checkpoint folder, which Spark takes from
-    ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-    temporary folder is set.
+    ``spark.checkpoint.dir``. Only where that is unset and all runs on this machine, as in tests, a
+    temporary folder is set; on a cluster it must be set.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meshwork-"))
     return context.getCheckpointDir()
 
 
