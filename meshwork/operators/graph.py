@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -220,3 +222,23 @@ def core_members(share: DataFrame, labels: DataFrame, core: float = 0.8) -> Data
     return out.select("id", "label", "mean_in", F.coalesce("max_out", F.lit(0.0)).alias("max_out"), (F.coalesce("mean_in", F.lit(1.0)) >= core).alias("is_core"))
 
 
+
+
+def label_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: edges within a label, their expected number and deviation when the labels are permuted over the nodes, and z.
+
+    The moments are exact (join counts without replacement): two edges are the same, share a node, or are disjoint, and how many
+    pairs are of which kind follows from the degrees. ``nodes`` is (id, label), edges are distinct pairs x < y.
+    """
+    c = nodes.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    falling = lambda x, k: reduce(mul, [x - i for i in range(k)])
+    counts = c.agg(F.sum("c").alias("n"), *[F.sum(falling(F.col("c"), k)).alias(f"f{k}") for k in (2, 3, 4)], F.sum(F.pow(falling(F.col("c"), 2), 2)).alias("square"))
+    shared = degrees(nodes, edges).agg(F.sum(F.col("degree") * (F.col("degree") - 1)).cast("double").alias("shared"))
+    within = edges_within(edges, nodes).select(F.col("n_within").cast("double").alias("n_within"), F.col("n_edges").cast("double").alias("m"))
+    r = within.join(F.broadcast(counts)).join(F.broadcast(shared))
+    n, m = F.col("n"), F.col("m")
+    p2, p3 = F.col("f2") / falling(n, 2), F.col("f3") / falling(n, 3)
+    p4 = (F.col("f4") + F.col("f2") * F.col("f2") - F.col("square")) / falling(n, 4)
+    second = m * p2 + F.col("shared") * p3 + (m * m - m - F.col("shared")) * p4
+    out = r.select(F.col("n_within").cast("long").alias("n_within"), (m * p2).alias("expected"), F.sqrt(F.greatest(F.lit(0.0), second - m * p2 * m * p2)).alias("deviation"))
+    return out.withColumn("z", ratio(F.col("n_within") - F.col("expected"), F.col("deviation")))

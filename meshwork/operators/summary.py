@@ -164,3 +164,11 @@ def merge_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def union_first(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of both, by key those of ``first`` where it has any."""
     return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti").select(*first.columns))
+
+
+def guarded_deviation(rows: DataFrame, group: str, value: str, guard: float) -> DataFrame:
+    """(group, n, mean, median, d_mean, d_median): how far a group's mean and median are from those of all rows, as parts of the latter; null where these are below ``guard``."""
+    whole = rows.agg(F.avg(value).alias("_mean"), F.median(value).alias("_median"))
+    own = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median")).join(F.broadcast(whole))
+    d = lambda c: F.when(F.abs(F.col(f"_{c}")) >= guard, (F.col(c) - F.col(f"_{c}")) / F.col(f"_{c}")).alias(f"d_{c}")
+    return own.select(group, "n", "mean", "median", d("mean"), d("median"))
