@@ -48,9 +48,10 @@ def semi_join_valid(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(line, "o_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti_join_missing(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    orders = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
 
 

@@ -42,3 +42,7 @@ def test_all_customers_and_roads(spark, con):
     ids = con.execute("SELECT count(*) FROM (SELECT o_custkey FROM orders UNION SELECT l_suppkey FROM lineitem)").fetchone()[0]
     assert len(same(spark, con, "missing_pairs_impute")) == ids * (ids - 1) // 2 > 60 * 59 // 2
     assert same(spark, con, "zero_distance_profile")
+
+
+def test_anti_join_has_rows(spark):
+    assert __spark_entry__.queries()["anti_join_missing"](spark, SF).count() > 0
