@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.plans import baselines, clusters, fits, geometry, graphs, inference, levels, outside, panels, relational, resamples, runs, summaries, verdicts  # noqa: F401  they fill the register
+from meshwork.plans import baselines, clusters, fits, geometry, graphs, inference, levels, outside, panels, relational, resamples, runs, summaries, trace, verdicts  # noqa: F401  they fill the register
 from meshwork.plans.base import ORACLE, QUERIES
 
 
