@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from meshwork.functions import scalar as S
@@ -80,8 +82,7 @@ EDGES = PAIRS + ", " + knn_sql("ps")
 
 
 def n_blocks(n):
-    """Blocks of about 1,024 nodes, four at least."""
-    return max(4, -(-n.count() // 1024))
+    return pairs.blocks_for(n.count())
 
 
 def cosine_pairs(spark, sf, above=None):
@@ -120,14 +121,14 @@ def threshold_sweep(spark, sf):
 DISTANCES = f"ds AS (SELECT a.id AS x, b.id AS y, {DIST} AS score FROM fx_nodes a JOIN fx_nodes b ON a.id < b.id)"
 
 
-def distances(spark, sf):
+def nearest(spark, sf):
     n = fx.nodes(spark, sf)
-    return pairs.block_pairs(n, "euclid", n_blocks(n))
+    return pairs.block_edges(n, 8, n_blocks(n), metric="euclid")
 
 
 @query(with_views("fx_nodes", more=DISTANCES + ", " + knn_sql("ds", nearest=True)) + "SELECT x, y, round(score, 6) AS distance, mutual FROM e")
 def knn_by_distance(spark, sf):
-    return pairs.knn_edges(distances(spark, sf), 8, nearest=True).select("x", "y", R(F.col("score")).alias("distance"), "mutual")
+    return nearest(spark, sf).select("x", "y", R(F.col("score")).alias("distance"), "mutual")
 
 
 SERIES = "sr AS (SELECT territory_id AS id, list(value ORDER BY period) AS x FROM (SELECT i.territory_id, q.period, coalesce(sum(value), 0) AS value FROM (SELECT DISTINCT territory_id FROM fx_consumption) i CROSS JOIN (SELECT DISTINCT period FROM fx_consumption) q LEFT JOIN fx_consumption f ON f.territory_id = i.territory_id AND f.period = q.period GROUP BY 1, 2) GROUP BY 1)"
@@ -266,15 +267,15 @@ def missing_pairs_impute(spark, sf):
 
 @query("WITH " + ROADS + ", bo AS (SELECT x AS s, y AS t, distance AS d FROM im UNION ALL SELECT y, x, distance FROM im) SELECT z.x, z.y, round(median(abs(a.d - b.d)), 6) AS median_gap, max(abs(a.d - b.d)) AS max_gap, count(*) AS n_third FROM rd z JOIN bo a ON a.s = z.x JOIN bo b ON b.s = z.y AND b.t = a.t WHERE z.distance = 0 AND a.t NOT IN (z.x, z.y) GROUP BY 1, 2")
 def zero_distance_profile(spark, sf):
-    r = roads(spark, sf)
-    return pairs.zero_profile(pairs.impute_missing(road_ids(r), r), r.where("distance = 0")).withColumn("median_gap", R(F.col("median_gap")))
+    r = materialize(roads(spark, sf))
+    return pairs.zero_profile(road_ids(r), r, r.where("distance = 0")).withColumn("median_gap", R(F.col("median_gap")))
 
 
 BOTH = EDGES + f", {DISTANCES}, " + knn_sql("ds", nearest=True, name="f")
 
 
 def two_networks(spark, sf):
-    return edges(spark, sf), pairs.knn_edges(distances(spark, sf), 8, nearest=True)
+    return edges(spark, sf), nearest(spark, sf)
 
 
 @query(with_views("fx_nodes", more=BOTH + ", i AS (SELECT count(*) AS n FROM e JOIN f USING (x, y))") + "SELECT (SELECT count(*) FROM e) AS n_a, (SELECT count(*) FROM f) AS n_b, n AS n_both, round(n / ((SELECT count(*) FROM e) + (SELECT count(*) FROM f) - n), 6) AS jaccard, round(CAST((SELECT count(*) FROM e) AS DOUBLE) * (SELECT count(*) FROM f) / (SELECT count(*) * (count(*) - 1) / 2 FROM fx_nodes), 6) AS expected FROM i")
@@ -288,17 +289,21 @@ def network_overlap(spark, sf):
 
 @query(with_views("fx_nodes", more=BOTH + ", j AS (SELECT ps.x, ps.y, ps.score, ds.score AS d FROM ps JOIN ds USING (x, y))") + "SELECT CASE WHEN d > 0 AND d <= 1.2 THEN 'near' WHEN d > 1.2 AND d <= 1.4 THEN 'mid' WHEN d > 1.4 AND d <= 9 THEN 'far' END AS band, count(*) AS n, round(avg(score), 6) AS mean, round(corr(score, ln(1 + d)), 6) AS r FROM j GROUP BY 1")
 def distance_bands(spark, sf):
-    j = cosine_pairs(spark, sf).join(distances(spark, sf).withColumnRenamed("score", "d"), ["x", "y"])
-    band = S.bin_right(F.col("d"), [0, 1.2, 1.4, 9], ["near", "mid", "far"])
-    return j.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), R(F.avg("score")).alias("mean"), R(F.corr("score", F.log1p("d"))).alias("r"))
+    n = fx.nodes(spark, sf)
+    found = pairs.block_bands(n, n_blocks(n), [0, 1.2, 1.4, 9], ["near", "mid", "far"])
+    return found.select("band", "n", R(F.col("mean")).alias("mean"), R(F.col("r")).alias("r"))
 
 
 @query(with_views("fx_nodes", more=BOTH + ", q AS (SELECT quantile_cont(score, 0.9) AS cut FROM ps)") + "SELECT x, y, round(score, 6) AS score FROM ps, q WHERE score >= cut AND (x, y) NOT IN (SELECT (x, y) FROM f)")
 def similar_not_neighbours(spark, sf):
     """The top tenth of pairs without those that are near in space."""
-    p, (_, f) = cosine_pairs(spark, sf), two_networks(spark, sf)
-    cut = p.agg(F.percentile("score", 0.9).alias("cut"))
-    return p.join(F.broadcast(cut), F.col("score") >= F.col("cut")).join(f.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", R(F.col("score")).alias("score"))
+    n = fx.nodes(spark, sf)
+    blocks = n_blocks(n)
+    cut = pairs.cosine_quantile(n, blocks, 0.9)
+    near = materialize(pairs.both_ways(nearest(spark, sf).select("x", "y")).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("skip")))
+    known = n.select("id", "x").join(near.hint("merge"), "id", "left")
+    at_least = -math.inf if cut is None else math.nextafter(cut, -math.inf)
+    return pairs.block_pairs(known, "cosine", blocks, at_least).select("x", "y", R(F.col("score")).alias("score"))
 
 
 @query(with_views("fx_nodes", more=EDGES) + "SELECT id, round(avg(score), 6) AS centrality, count(*) AS degree FROM (SELECT x AS id, score FROM e UNION ALL SELECT y, score FROM e) GROUP BY 1")
