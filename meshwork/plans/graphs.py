@@ -149,7 +149,7 @@ UN = "un AS (SELECT a.id AS x, b.id AS y, unnest(a.x) AS u, unnest(b.x) AS v, un
 @query(with_views("fx_consumption", more=SERIES + ", " + UN + ", cs AS (SELECT x, y, corr(u, v) AS score FROM un GROUP BY 1, 2), " + knn_sql("cs", k=4)) + "SELECT x, y, round(score, 6) AS score, mutual FROM e")
 def series_corr_knn(spark, sf):
     """Pearson correlations as cosines of centred series, by blocks."""
-    s = series(spark, sf)
+    s = materialize(series(spark, sf))
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
     centred = s.withColumn("m", mean).select("id", F.transform("x", lambda v: v - F.col("m")).alias("x"))
     return pairs.block_edges(centred, 4, 4).select("x", "y", R(F.col("score")).alias("score"), "mutual")
@@ -162,10 +162,8 @@ LAGS = [0, -1, 1, -2, 2]
 l(i, lag) AS (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)), un AS (SELECT x, y, i, lag, u, v, unnest(range(1, len(u) + 1)) AS t FROM ab, l),
 c AS (SELECT x, y, i, lag, round(corr(u[t], v[t + lag]), 9) AS score FROM un WHERE t + lag BETWEEN 1 AND len(u) GROUP BY 1, 2, 3, 4)""") + "SELECT x, y, round(score, 6) AS score, CAST(lag AS BIGINT) AS lag FROM c QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY score DESC, i) = 1")
 def lag_corr_pairs(spark, sf):
-    s = series(spark, sf)
-    n = s.select(F.max(F.size("x"))).first()[0]
-    scored = pairs.all_pairs(s, pairs.best_lag(F.col("a.x"), F.col("b.x"), LAGS, n))
-    return scored.select("x", "y", R(F.col("score.score")).alias("score"), F.col("score.lag").cast("long").alias("lag"))
+    s = materialize(series(spark, sf))
+    return pairs.block_lags(s, LAGS, n_blocks(s)).select("x", "y", R(F.col("score")).alias("score"), "lag")
 
 
 NODES_EDGES = with_views("fx_nodes", more=EDGES + ", dg AS (SELECT n.id, count(e.x) AS degree FROM fx_nodes n LEFT JOIN e ON n.id IN (e.x, e.y) GROUP BY 1)")
