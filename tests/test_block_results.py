@@ -146,3 +146,26 @@ def test_zero_profile(spark, value):
     for (a, b), r in got.items():
         gaps = [abs(of(a, z) - of(b, z)) for z in ids if z not in (a, b)]
         assert (r.n_third, r.max_gap, r.median_gap) == (len(gaps), max(gaps), float(np.median(gaps)))
+
+
+def test_small_tables_are_dealt_out(spark):
+    """Very many pairs of two small tables are worked out in many tasks."""
+    assert __spark_entry__.queries()["haversine_distance"](spark, SF).rdd.getNumPartitions() >= 256
+
+
+def test_fast_rounding_is_half_up(spark):
+    from meshwork.functions.scalar import rounded_fast
+
+    df = spark.createDataFrame([(0.0,), (0.00005,), (12.34565,), (20015.08679,)], "v double")
+    assert [r[0] for r in df.select(rounded_fast(F.col("v"), 4)).collect()] == [0.0, 0.0001, 12.3457, 20015.0868]
+
+
+def test_shared_vertices_join_no_pairs(spark):
+    """Pairs of polygons are no rows before they are counted."""
+    text = plan(__spark_entry__.queries()["shared_vertex_pairs"](spark, SF))
+    assert "FlatMapGroupsInArrow" in text and "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
+
+
+def test_overlaps_and_gaps_leave_no_join_to_a_broadcast(spark):
+    q = __spark_entry__.queries()
+    assert "Broadcast" not in plan(q["overlap_pairs"](spark, SF)) and "Broadcast" not in plan(q["gap_widths"](spark, SF))
