@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwork.session import materialize
+
 #: Level of a box without extent, and edges of a band of a polygon.
 POINT_LEVEL = -40
 BAND = 8
@@ -69,7 +71,8 @@ def meeting_boxes(box: DataFrame) -> DataFrame:
     names = ["id", "part", "level", "lx", "ly", "hx", "hy"]
     host = _in_cells(box.withColumn("cell_level", F.col("level"))).select("cell_level", "cx", "cy", *[F.col(c).alias(f"h_{c}") for c in names])
     guest = _in_cells(box.withColumn("cell_level", F.explode(F.filter(levels, lambda x: x >= F.col("level"))))).select("cell_level", "cx", "cy", *[F.col(c).alias(f"g_{c}") for c in names])
-    met = guest.join(host, ["cell_level", "cx", "cy"])
+    # sizes of exploded rows are underrated, so joins here are never left to a broadcast
+    met = guest.join(host.hint("merge"), ["cell_level", "cx", "cy"])
     left, low = F.greatest("g_lx", "h_lx"), F.greatest("g_ly", "h_ly")
     meets = (left <= F.least("g_hx", "h_hx")) & (low <= F.least("g_hy", "h_hy"))
     once = (F.col("g_id") != F.col("h_id")) & ((F.col("g_level") < F.col("h_level")) | (F.col("g_id") < F.col("h_id")))
@@ -104,12 +107,12 @@ def overlap_areas(vertices: DataFrame, min_area: float = 0.0) -> DataFrame:
 
     Parts of one id are taken as disjoint. Rows with nulls in coordinates must be left out before; an empty table has no overlaps.
     """
-    e = edges(vertices).where("s <> 0")
-    pairs = meeting_boxes(boxes(vertices))
-    base = boxes(vertices).select(F.col("id").alias("id_a"), F.col("part").alias("part_a"), F.col("ly").alias("base"))
-    p = e.select(F.col("id").alias("id_a"), F.col("part").alias("part_a"), F.struct("x1", "y1", "x2", "y2", "s").alias("p"))
-    q = e.select(F.col("id").alias("id_b"), F.col("part").alias("part_b"), F.struct("x1", "y1", "x2", "y2", "s").alias("q"))
-    both = pairs.join(base, ["id_a", "part_a"]).join(p, ["id_a", "part_a"]).join(q, ["id_b", "part_b"])
+    box = materialize(boxes(vertices))
+    e = edges(vertices).where("s <> 0").groupBy("id", "part").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "s")).alias("e"))
+    side = lambda c: e.select(F.col("id").alias(f"id_{c}"), F.col("part").alias(f"part_{c}"), F.col("e").alias(f"e_{c}")).hint("merge")
+    base = box.select(F.col("id").alias("id_a"), F.col("part").alias("part_a"), F.col("ly").alias("base")).hint("merge")
+    both = meeting_boxes(box).join(base, ["id_a", "part_a"]).join(side("a"), ["id_a", "part_a"]).join(side("b"), ["id_b", "part_b"])
+    both = both.withColumn("p", F.explode("e_a")).select("id_a", "id_b", "base", "p", F.explode("e_b").alias("q"))
     return both.groupBy("id_a", "id_b").agg(F.sum(lower_strip(F.col("base"))).alias("area")).where(F.col("area") > min_area)
 
 
@@ -159,9 +162,9 @@ def shared_vertices(vertices: DataFrame, least: int = 2) -> DataFrame:
     """(id_a, id_b, x, y): vertices that two ids have exactly in common, where they share at least ``least``."""
     v = vertices.select("id", "x", "y").distinct()
     a, b = v.withColumnRenamed("id", "id_a"), v.withColumnRenamed("id", "id_b")
-    met = a.join(b, ["x", "y"]).where("id_a < id_b")
+    met = a.join(b.hint("merge"), ["x", "y"]).where("id_a < id_b")
     many = met.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("id_a", "id_b")
-    return met.join(many, ["id_a", "id_b"]).select("id_a", "id_b", "x", "y")
+    return met.join(many.hint("merge"), ["id_a", "id_b"]).select("id_a", "id_b", "x", "y")
 
 
 def signed_distance(points: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def signed_distance(points: DataFrame, vertices: DataFrame) -> DataFrame:
     size = dx * dx + dy * dy
     t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / size))).otherwise(0.0)
     gap = F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy)
-    met = points.select("id", "x", "y").distinct().join(e, "id")
+    met = points.select("id", "x", "y").distinct().join(e.hint("merge"), "id")
     out = met.groupBy("id", "x", "y").agg(F.min(gap).alias("far"), F.count_if(crosses()).alias("n"))
     return out.select("id", "x", "y", F.when(F.col("n") % 2 == 1, F.col("far")).otherwise(-F.col("far")).alias("d"))
 
@@ -181,9 +184,9 @@ def gap_widths(original: DataFrame, simplified: DataFrame) -> DataFrame:
 
     At a shared vertex, the boundary of a lies d_a outwards of it and that of b d_b inwards of a; the width is the greatest |d_a - d_b|. All shared vertices are taken.
     """
-    v = shared_vertices(original)
+    v = materialize(shared_vertices(original))
     own = v.select(F.col("id_a").alias("id"), "x", "y").unionByName(v.select(F.col("id_b").alias("id"), "x", "y"))
-    d = signed_distance(own, simplified)
+    d = materialize(signed_distance(own, simplified)).hint("merge")
     a, b = d.select(F.col("id").alias("id_a"), "x", "y", F.col("d").alias("d_a")), d.select(F.col("id").alias("id_b"), "x", "y", F.col("d").alias("d_b"))
     return v.join(a, ["id_a", "x", "y"]).join(b, ["id_b", "x", "y"]).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n_shared"), F.max(F.abs(F.col("d_a") + F.col("d_b"))).alias("width"))
 
