@@ -43,7 +43,9 @@ def vectors(spark, sf):
 
 
 def network(spark, sf):
-    return pairs.block_edges(vectors(spark, sf), 8, 2, by=["period"])
+    v = materialize(vectors(spark, sf))
+    largest = v.groupBy("period").count().agg(F.max("count")).first()[0] or 0
+    return pairs.block_edges(v, 8, max(2, pairs.blocks_for(largest) // 2), by=["period"])
 
 
 @query(with_views("fx_users", more=NET) + "SELECT period, x, y, round(score, 6) AS similarity, mutual FROM e")
@@ -152,7 +154,7 @@ def series_corr_knn(spark, sf):
     s = materialize(series(spark, sf))
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
     centred = s.withColumn("m", mean).select("id", F.transform("x", lambda v: v - F.col("m")).alias("x"))
-    return pairs.block_edges(centred, 4, 4).select("x", "y", R(F.col("score")).alias("score"), "mutual")
+    return pairs.block_edges(centred, 4, n_blocks(s)).select("x", "y", R(F.col("score")).alias("score"), "mutual")
 
 
 LAGS = [0, -1, 1, -2, 2]
