@@ -93,8 +93,9 @@ def cosine_pairs(spark, sf, above=None):
 
 
 def edges(spark, sf):
+    """Written once, since most measures read them more than once."""
     n = fx.nodes(spark, sf)
-    return pairs.block_edges(n, 8, n_blocks(n))
+    return materialize(pairs.block_edges(n, 8, n_blocks(n)))
 
 
 @query(with_views("fx_nodes", more=PAIRS) + "SELECT x, y, round(score, 6) AS score FROM ps WHERE score > 0.2")
@@ -125,7 +126,7 @@ DISTANCES = f"ds AS (SELECT a.id AS x, b.id AS y, {DIST} AS score FROM fx_nodes
 
 def nearest(spark, sf):
     n = fx.nodes(spark, sf)
-    return pairs.block_edges(n, 8, n_blocks(n), metric="euclid")
+    return materialize(pairs.block_edges(n, 8, n_blocks(n), metric="euclid"))
 
 
 @query(with_views("fx_nodes", more=DISTANCES + ", " + knn_sql("ds", nearest=True)) + "SELECT x, y, round(score, 6) AS distance, mutual FROM e")
@@ -333,7 +334,7 @@ def runs(spark, seeds: int, gammas: list[float]):
 @query()
 def louvain_best(spark, sf):
     """Louvain over seeds; the partition of highest modularity, ties to the smallest seed."""
-    e = materialize(edges(spark, sf))
+    e = edges(spark, sf)
     found = materialize(graph.louvain_runs(e, runs(spark, 8, [1.0])))
     lab = lambda c, n: found.select("seed", F.col("id").alias(c), F.col("label").alias(n))
     m = e.join(lab("x", "i"), "x").join(lab("y", "j"), ["seed", "y"])
