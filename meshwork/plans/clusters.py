@@ -64,7 +64,7 @@ def ps_ratio(spark, sf):
 
 @query(sql("SELECT a.id, round(coalesce((b - a) / greatest(a, b), 0), 6) AS s FROM (SELECT a.id, min(m) FILTER (own) AS a, min(m) FILTER (NOT own) AS b FROM (SELECT a.id, a.label = b.label AS own, avg(" + DIST + ") AS m FROM fx_nodes a JOIN fx_nodes b ON a.id <> b.id GROUP BY a.id, a.label, b.label) a GROUP BY 1) a", "one AS (SELECT 1)"))
 def silhouette(spark, sf):
-    return validity.silhouette(fx.nodes(spark, sf)).withColumn("s", R(F.col("s")))
+    return validity.silhouette(fx.stored_nodes(spark, sf)).withColumn("s", R(F.col("s")))
 
 
 LONG = "lv AS (SELECT id, label, unnest(range(1, 65)) AS d, unnest(x) AS v FROM fx_nodes)"

@@ -54,3 +54,9 @@ def test_edges_are_worked_out_once(spark):
     for name in ("clustering_coeff", "degree_change", "edge_degree_stats", "network_overlap"):
         text = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().toString()
         assert "InArrow" not in text and "CartesianProduct" not in text
+
+
+def test_vectors_are_moved_as_stored(spark):
+    """Block operators widen vectors in the task, not before they are sent to each pair of blocks."""
+    for name in ("similar_not_neighbours", "cosine_pairs_threshold", "silhouette"):
+        assert "array<double>" not in __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().analyzed().toString()
