@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions.scalar import ratio
 from meshwork.operators.pairs import both_ways
+from meshwork.session import materialize
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -242,3 +243,26 @@ def label_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     second = m * p2 + F.col("shared") * p3 + (m * m - m - F.col("shared")) * p4
     out = r.select(F.col("n_within").cast("long").alias("n_within"), (m * p2).alias("expected"), F.sqrt(F.greatest(F.lit(0.0), second - m * p2 * m * p2)).alias("deviation"))
     return out.withColumn("z", ratio(F.col("n_within") - F.col("expected"), F.col("deviation")))
+
+
+def core_of_runs(found: DataFrame, runs: int, core: float = 0.8) -> DataFrame:
+    """(id, label, mean_in, max_out, is_core): ``core_members`` of the co-occurrence of runs (seed, id, label) with the run of seed 0 as the reference, without a row for any pair.
+
+    What a node shares with its own community are counts by (run, label, reference label). What it shares with the nearest
+    stranger is the greatest number of runs whose labels it has in common with a node of another reference label: for each set of runs, nodes
+    meet by their labels in it, and a meeting of two reference labels counts. Sets are 2 ** (runs - 1) for each distinct row of labels, so runs are few.
+    """
+    rows = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seed", "label"))).alias("s"))
+    rows = materialize(rows.select("id", F.transform("s", lambda r: r["label"]).alias("all")).select("id", F.get("all", F.lit(0)).alias("label"), F.slice("all", 2, runs - 1).alias("rest")))
+    each = rows.select("id", F.col("label").alias("own"), F.posexplode(F.concat(F.array("label"), "rest")).alias("run", "l"))
+    together = each.groupBy("own", "run", "l").agg((F.count(F.lit(1)) - 1).alias("n"))
+    inside = each.join(together, ["own", "run", "l"]).groupBy("id").agg((F.sum("n") / runs).alias("in_sum"))
+    distinct = materialize(rows.groupBy("rest").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    sets = [[i for i in range(runs - 1) if m >> i & 1] for m in range(1, 2 ** (runs - 1))]
+    key = F.array(*[F.struct(F.lit(at).alias("set"), F.lit(len(of)).alias("size"), F.array(*[F.get("rest", F.lit(i)) for i in of]).alias("key")) for at, of in enumerate(sets)]) if sets else F.array().cast("array<struct<set:int,size:int,key:array<long>>>")
+    met = distinct.select("rest", "lo", "hi", F.explode(key).alias("e")).select("rest", "lo", "hi", "e.*")
+    mixed = met.groupBy("set", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("set", "key")
+    outside = met.join(mixed, ["set", "key"]).groupBy("rest").agg((F.max("size") / runs).alias("max_out"))
+    size = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.join(inside, "id").join(size, "label").join(outside, "rest", "left").withColumn("mean_in", ratio(F.col("in_sum"), F.col("n") - 1))
+    return out.select("id", "label", "mean_in", F.coalesce("max_out", F.lit(0.0)).alias("max_out"), (F.coalesce("mean_in", F.lit(1.0)) >= core).alias("is_core"))

@@ -358,5 +358,4 @@ def louvain_resolution(spark, sf):
 def louvain_cooccurrence(spark, sf):
     """Core members of the communities of the first run, by how often pairs stay together over runs."""
     found = materialize(graph.louvain_runs(edges(spark, sf), runs(spark, 8, [1.0])))
-    share = graph.cooccurrence(found.select("seed", "id", "label"), 8)
-    return graph.core_members(share, found.where("seed = 0").select("id", "label"))
+    return graph.core_of_runs(found.select("seed", "id", "label"), 8)
