@@ -7,8 +7,11 @@ fits of small slices; those are fanned out by key and each runs on one slice in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from meshwork.functions.scalar import euclid, ratio
 from meshwork.operators.panel import best_assignment
 from meshwork.operators.validity import centroids
 
+#: Rows that a fit widens to doubles at once.
+SLICE = 8_192
+
 
 def assign(nodes: DataFrame, centres: DataFrame, digits: int = 9) -> DataFrame:
     """(id, label, d1, d2, ratio): nearest and second-nearest centre, ties to the smaller label."""
@@ -34,24 +40,48 @@ def lloyd(nodes: DataFrame, centres: DataFrame, rounds: int) -> DataFrame:
     return assign(base, centres).select("id", "label", "d1")
 
 
+def slices(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows in slices, as doubles: a whole run's vectors stay as they are stored."""
+    for at in range(0, len(x), SLICE):
+        own = slice(at, min(len(x), at + SLICE))
+        yield own, x[own].astype(float)
+
+
+def nearest_of(x: np.ndarray, c: np.ndarray, measured: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of a few centres to each row, by products around their mean, and, if ``measured``, its squared distance, by differences."""
+    lab, near = np.empty(len(x), np.int64), np.empty(len(x))
+    middle = c.mean(axis=0)
+    b = c - middle
+    half = np.square(b).sum(axis=1) / 2
+    for own, v in slices(x):
+        lab[own] = (half - (v - middle) @ b.T).argmin(axis=1)
+        if measured:
+            near[own] = np.square(v - c[lab[own]]).sum(axis=1)
+    return lab, near
+
+
 def kmeans_fit(x: np.ndarray, k: int, seed: int, inits: int = 4, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Labels and inertia of the best of some k-means++ starts."""
     rng, best = np.random.default_rng(seed), None
     for _ in range(inits):
-        c = [x[rng.integers(len(x))]]
+        c = [x[rng.integers(len(x))].astype(float)]
+        near = None
         for _ in range(1, k):
-            d = np.min([((x - m) ** 2).sum(1) for m in c], axis=0)
-            c.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
+            d = nearest_of(x, np.array(c[-1:]))[1]
+            near = d if near is None else np.minimum(near, d)
+            c.append(x[rng.choice(len(x), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(x))].astype(float))
         c = np.array(c)
         for _ in range(rounds):
-            d = ((x[:, None] - c[None]) ** 2).sum(2)
-            lab = d.argmin(1)
-            new = np.array([x[lab == j].mean(0) if (lab == j).any() else x[d.min(1).argmax()] for j in range(k)])
+            lab, _ = nearest_of(x, c, False)
+            total, n = np.zeros_like(c), np.bincount(lab, minlength=k)
+            for own, v in slices(x):
+                total += np.eye(k)[lab[own]].T @ v
+            new = np.array([total[j] / n[j] if n[j] else x[nearest_of(x, c)[1].argmax()].astype(float) for j in range(k)])
             if np.abs(new - c).max() < 1e-9:
                 break
             c = new
-        d = ((x[:, None] - c[None]) ** 2).sum(2)
-        fit = (round(float(d.min(1).sum()), 6), d.argmin(1))
+        lab, near = nearest_of(x, c)
+        fit = (round(float(near.sum()), 6), lab)
         if best is None or fit[0] < best[0]:
             best = fit
     return best[1], best[0]
@@ -125,14 +155,36 @@ def spectral_fit(w: np.ndarray, k: int, seed: int) -> np.ndarray:
     return kmeans_fit(y, k, seed)[0]
 
 
+def sorted_vectors(batches: Iterator[pa.RecordBatch]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The other columns of the first row as Python values, and ids and vectors by ascending id, as they are stored."""
+    first, ids, parts = None, [], []
+    for b in batches:
+        if b.num_rows:
+            first = first or {c: b.column(i)[0].as_py() for i, c in enumerate(b.schema.names) if c not in ("id", "x")}
+            flat = b.column("x").flatten().to_numpy(zero_copy_only=False)
+            ids.append(b.column("id").to_numpy())
+            parts.append(flat.reshape(b.num_rows, -1))
+    ids = np.concatenate(ids).astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    x, at = np.empty((len(ids), parts[0].shape[1]), parts[0].dtype), len(ids)
+    while parts:
+        p = parts.pop()  # each batch is let go as soon as it is copied
+        at -= len(p)
+        x[place[at : at + len(p)]] = p
+    return first, ids[order], x
+
+
 def fits(nodes: DataFrame, runs: DataFrame, method: str = "kmeans", by: list[str] | None = None) -> DataFrame:
     """(by, seed, k, id, label, score): one fit for each slice and run (seed, k), slices and runs dealt out."""
     by = by or []
     fan = nodes.select(*by, "id", "x").join(F.broadcast(runs))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        x, k, seed = np.array(pdf.x.tolist(), float), int(pdf.k.iloc[0]), int(pdf.seed.iloc[0])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, ids, x = sorted_vectors(batches)
+        k, seed = first["k"], first["seed"]
+        x = x if method == "kmeans" else x.astype(float)
         if method == "kmeans":
             label, score = kmeans_fit(x, k, seed)
         elif method == "gmm":
@@ -144,11 +196,13 @@ def fits(nodes: DataFrame, runs: DataFrame, method: str = "kmeans", by: list[str
             sim = np.maximum(u @ u.T, 0)
             np.fill_diagonal(sim, 0)
             label, score = spectral_fit(sim, k, seed), 0.0
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "seed": seed, "k": k, "id": pdf.id.to_numpy(), "label": label, "score": score})
+        n = len(ids)
+        same = [pa.repeat(first[c], n) for c in (*by, "seed", "k")]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(ids), pa.array(label.astype(np.int64)), pa.array(np.full(n, score, float))], [*by, "seed", "k", "id", "label", "score"])
 
     kinds = dict(nodes.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "seed long", "k long", "id long", "label long", "score double"])
-    return fan.groupBy(*by, "seed", "k").applyInPandas(fit, schema)
+    return fan.groupBy(*by, "seed", "k").applyInArrow(fit, schema)
 
 
 def best_run(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -206,21 +260,33 @@ def prediction_strength(nodes: DataFrame, k: int, splits: int) -> DataFrame:
     return h.groupBy("split").applyInPandas(run, "split long, half long, strength double")
 
 
+def uniform_in_box(x: np.ndarray, seed: int) -> np.ndarray:
+    """As many vectors, of the same kind, drawn uniformly from the box around x along its principal axes."""
+    m = sum(v.sum(axis=0) for _, v in slices(x)) / len(x)
+    axes = np.linalg.eigh(sum((v - m).T @ (v - m) for _, v in slices(x)))[1].T[::-1]
+    low, high = np.full(x.shape[1], np.inf), np.full(x.shape[1], -np.inf)
+    for _, v in slices(x):
+        v = (v - m) @ axes.T
+        low, high = np.minimum(low, v.min(axis=0)), np.maximum(high, v.max(axis=0))
+    rng, out = np.random.default_rng(seed), np.empty_like(x)
+    for own, v in slices(x):
+        out[own] = rng.uniform(low, high, v.shape) @ axes + m
+    return out
+
+
 def gap_curve(nodes: DataFrame, ks: list[int], refs: int) -> DataFrame:
     """(k, gap, s): log inertia against uniform references in the box of the principal axes."""
     fan = nodes.select("id", "x").join(F.broadcast(nodes.sparkSession.createDataFrame([(k, b) for k in ks for b in range(-1, refs)], "k int, ref int")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, ref = int(pdf.k.iloc[0]), int(pdf.ref.iloc[0])
-        x = np.array(pdf.sort_values("id", kind="stable").x.tolist(), float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, _, x = sorted_vectors(batches)
+        k, ref = first["k"], first["ref"]
         if ref >= 0:
-            m = x.mean(0)
-            _, _, vt = np.linalg.svd(x - m, full_matrices=False)
-            z = (x - m) @ vt.T
-            x = np.random.default_rng(ref).uniform(z.min(0), z.max(0), z.shape) @ vt + m
-        return pd.DataFrame({"k": [k], "ref": [ref], "w": [np.log(max(kmeans_fit(x, k, 0, 2)[1], 1e-12))]})
+            x = uniform_in_box(x, ref)
+        w = float(np.log(max(kmeans_fit(x, k, 0, 2)[1], 1e-12)))
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([ref], pa.int32()), pa.array([w])], ["k", "ref", "w"])
 
-    w = fan.groupBy("k", "ref").applyInPandas(run, "k int, ref int, w double")
+    w = fan.groupBy("k", "ref").applyInArrow(run, "k int, ref int, w double")
     g = w.groupBy("k").agg(F.avg(F.when(F.col("ref") >= 0, F.col("w"))).alias("m"), F.max(F.when(F.col("ref") < 0, F.col("w"))).alias("own"), F.stddev_pop(F.when(F.col("ref") >= 0, F.col("w"))).alias("sd"))
     return g.select("k", (F.col("m") - F.col("own")).alias("gap"), (F.col("sd") * (1 + 1 / refs) ** 0.5).alias("s"))
 

@@ -156,13 +156,14 @@ def run_list(spark, seeds, k):
 
 @query()
 def kmeans_best_of_seeds(spark, sf):
-    return cluster.best_run(cluster.fits(fx.nodes(spark, sf), run_list(spark, 10, 6)), ["k"]).select("k", "seed", "id", "label", "score")
+    runs = materialize(cluster.fits(fx.stored_nodes(spark, sf), run_list(spark, 10, 6)))
+    return cluster.best_run(runs, ["k"]).select("k", "seed", "id", "label", "score")
 
 
 @query()
 def membership_confidence(spark, sf):
     """Agreement of runs with the best one after renaming labels by overlap."""
-    runs = materialize(cluster.fits(fx.nodes(spark, sf), run_list(spark, 10, 6)))
+    runs = materialize(cluster.fits(fx.stored_nodes(spark, sf), run_list(spark, 10, 6)))
     best = cluster.best_run(runs, ["k"]).select("id", "label")
     return cluster.confidence(cluster.overlap_relabel(runs, best, 6), best)
 
@@ -191,7 +192,7 @@ def prediction_strength(spark, sf):
 
 @query()
 def gap_statistic(spark, sf):
-    return validity.gap_choice(cluster.gap_curve(fx.nodes(spark, sf), [2, 3, 4, 5, 6], 8))
+    return validity.gap_choice(cluster.gap_curve(fx.stored_nodes(spark, sf), [2, 3, 4, 5, 6], 8))
 
 
 @query()
