@@ -87,10 +87,10 @@ def kmeans_fit(x: np.ndarray, k: int, seed: int, inits: int = 4, rounds: int = 1
     return best[1], best[0]
 
 
-def ward_fit(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward's agglomeration by nearest-neighbour chains, cut at k clusters."""
+def ward_merges(x: np.ndarray, size: np.ndarray) -> list[tuple[float, int, int]]:
+    """Merges (cost, a, b), a < b, of clusters with these centres and sizes by nearest-neighbour chains; a merged cluster goes on as a."""
     n = len(x)
-    size, centre, alive, merges, chain = np.ones(n), x.astype(float).copy(), np.ones(n, bool), [], []
+    size, centre, alive, merges, chain = size.copy(), x.astype(float).copy(), np.ones(n, bool), [], []
     for _ in range(n - 1):
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
@@ -110,6 +110,13 @@ def ward_fit(x: np.ndarray, k: int) -> np.ndarray:
         centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
         size[a] += size[b]
         alive[b] = False
+    return merges
+
+
+def ward_fit(x: np.ndarray, k: int) -> np.ndarray:
+    """Ward's agglomeration by nearest-neighbour chains, cut at k clusters."""
+    n = len(x)
+    merges = ward_merges(x, np.ones(n))
     parent = list(range(n))
 
     def root(v: int) -> int:

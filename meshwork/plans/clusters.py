@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshwork.functions import scalar as S
-from meshwork.operators import cluster, panel, rank, validity
+from meshwork.operators import cluster, panel, rank, validity, whole
 from meshwork.plans.base import query
 from meshwork.plans.graphs import DIST
 from meshwork.session import materialize
@@ -181,7 +181,11 @@ def ward(spark, sf):
 
 @query()
 def spectral(spark, sf):
-    return cluster.fits(fx.nodes(spark, sf), run_list(spark, 1, 6), "spectral").select("id", "label")
+    """A dense matrix up to ``whole.LOCAL`` nodes, products by blocks beyond."""
+    n = fx.stored_nodes(spark, sf)
+    if n.count() > whole.LOCAL:
+        return whole.spectral(n, 6, 0)
+    return cluster.fits(n, run_list(spark, 1, 6), "spectral").select("id", "label")
 
 
 @query()
