@@ -176,7 +176,11 @@ def gmm_best(spark, sf):
 
 @query()
 def ward(spark, sf):
-    return cluster.fits(fx.nodes(spark, sf), run_list(spark, 1, 6), "ward").select("id", "label")
+    """One task up to ``whole.LOCAL`` nodes, rounds by blocks beyond."""
+    n = fx.stored_nodes(spark, sf)
+    if n.count() > whole.LOCAL:
+        return whole.ward(n, 6)
+    return cluster.fits(n, run_list(spark, 1, 6), "ward").select("id", "label")
 
 
 @query()
