@@ -151,10 +151,12 @@ class Best:
                     where = s.shape[1] - self.k - 1
                     first = np.partition(s, where, axis=1)[:, where] if where > 0 else np.full(len(s), -np.inf)
                     least = np.where(np.isfinite(least), least, first - 2 * slack[rows] - 4 * 10.0**-self.digits * (1 if self.metric == "cosine" else np.sqrt(self.square[rows]) + far))
-                found = np.flatnonzero(s >= np.nextafter(least.astype(kind), kind(-np.inf))[:, None])
+                reach = np.nextafter(least.astype(kind), kind(-np.inf))
+                some = np.flatnonzero(s.max(axis=1) >= reach)  # most rows have no candidate in a product
+                found = np.flatnonzero(s[some] >= reach[some, None])
                 for part in range(0, len(found), MOST):
                     i, j = np.divmod(found[part : part + MOST], s.shape[1])
-                    i, j = i + at, j + of
+                    i, j = some[i] + at, j + of
                     other = self.ids[i] != ids[j]
                     i, j = i[other], j[other]
                     waiting.append((i, j))
