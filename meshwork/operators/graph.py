@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from operator import mul
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +127,32 @@ def jaccard(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return n.withColumn("jaccard", ratio(F.col("n_both").cast("double"), F.col("n_a") + F.col("n_b") - F.col("n_both")))
 
 
+def digest(lines: DataFrame, separator: str) -> DataFrame:
+    """One row (sha256, n): the digest of all lines (k, line), each k once, in the order of k and joined by the separator.
+
+    SHA-256 takes bytes one after the other, so one task reads all lines; ranges of k are sorted and joined into pieces before, of which it holds a batch.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                text = separator.join(b.column(1).to_pylist()).encode()
+                yield pa.RecordBatch.from_arrays([b.column(0)[:1], pa.array([text], pa.binary()), pa.array([b.num_rows])], ["first", "text", "n"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = hashlib.sha256(), 0
+        for b in batches:
+            for text, many in zip(b.column(1), b.column(2)):
+                h.update((separator.encode() if n else b"") + text.as_py())
+                n += many.as_py()
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()]), pa.array([n])], ["sha256", "n"])
+
+    part = lines.select("k", "line").repartitionByRange("k").sortWithinPartitions("k").mapInArrow(pieces, "first string, text binary, n long")
+    found = part.repartition(1).sortWithinPartitions("first").mapInArrow(hashed, "sha256 string, n long")
+    none = F.lit(hashlib.sha256().hexdigest())
+    return found.agg(F.coalesce(F.max("sha256"), none).alias("sha256"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+
+
 def louvain(n: int, x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: int = 0, gamma: float = 1.0) -> np.ndarray:
     """Community of each of n nodes: local moves to the best neighbour community, then aggregation, until no gain."""
     rng = np.random.default_rng(seed)

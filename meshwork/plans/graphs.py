@@ -314,9 +314,8 @@ def centrality(spark, sf):
 
 @query(with_views("fx_nodes", more=EDGES) + "SELECT sha256(string_agg(x || ':' || y || ':' || printf('%.6f', score), ';' ORDER BY x || ':' || y)) AS sha256, count(*) AS n FROM e")
 def adjacency_digest(spark, sf):
-    e = edges(spark, sf)
-    line = F.struct(F.concat_ws(":", F.col("x").cast("string"), F.col("y").cast("string")).alias("k"), F.format_string("%.6f", "score").alias("w"))
-    return e.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda r: F.concat_ws(":", r["k"], r["w"])), ";"), 256).alias("sha256"), F.count(F.lit(1)).alias("n"))
+    key = F.concat_ws(":", F.col("x").cast("string"), F.col("y").cast("string"))
+    return graph.digest(edges(spark, sf).select(key.alias("k"), F.concat_ws(":", key, F.format_string("%.6f", "score")).alias("line")), ";")
 
 
 @query(with_views("fx_nodes", more=EDGES) + "SELECT degree - coalesce(d2, 0) AS change, count(*) AS n FROM (SELECT id, count(*) AS degree, count(*) FILTER (mutual) AS d2 FROM (SELECT x AS id, mutual FROM e UNION ALL SELECT y, mutual FROM e) GROUP BY 1) GROUP BY 1")
