@@ -293,7 +293,11 @@ def gap_curve(nodes: DataFrame, ks: list[int], refs: int) -> DataFrame:
         w = float(np.log(max(kmeans_fit(x, k, 0, 2)[1], 1e-12)))
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([ref], pa.int32()), pa.array([w])], ["k", "ref", "w"])
 
-    w = fan.groupBy("k", "ref").applyInArrow(run, "k int, ref int, w double")
+    return gaps(fan.groupBy("k", "ref").applyInArrow(run, "k int, ref int, w double"), refs)
+
+
+def gaps(w: DataFrame, refs: int) -> DataFrame:
+    """(k, gap, s) from the log inertias (k, ref, w), those of ref -1 being of the vectors themselves."""
     g = w.groupBy("k").agg(F.avg(F.when(F.col("ref") >= 0, F.col("w"))).alias("m"), F.max(F.when(F.col("ref") < 0, F.col("w"))).alias("own"), F.stddev_pop(F.when(F.col("ref") >= 0, F.col("w"))).alias("sd"))
     return g.select("k", (F.col("m") - F.col("own")).alias("gap"), (F.col("sd") * (1 + 1 / refs) ** 0.5).alias("s"))
 

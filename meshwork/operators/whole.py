@@ -1,4 +1,4 @@
-"""Ward's agglomeration and spectral clustering of one table that is too large for a task, by blocks.
+"""Ward's agglomeration, spectral clustering and k-means of one table that is too large for a task, by blocks.
 
 Nodes lie in packed blocks, one row of bytes each, that meet by a cross join of one block on the left and up to ``packed.GROUP`` on the right. What
 goes to the driver are counts and matrices of a fixed size.
@@ -7,6 +7,7 @@ goes to the driver are counts and matrices of a fixed size.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -310,3 +311,158 @@ def ritz(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-value)
     turn[:, : len(order)], values[: len(order)] = base @ v[:, order], value[order]
     return turn, values
+
+
+def gathered(stored: DataFrame, work: Callable[[int, np.ndarray], Iterator[tuple[int, np.ndarray, float, np.ndarray]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(total, row) by run of what ``work`` says of each packed block as (run, numbers to add, score, row): the sums, and the row of the highest score. A row for each run goes to the driver."""
+
+    def merge(rows: Iterator[tuple[int, np.ndarray, float, np.ndarray]]) -> pa.RecordBatch:
+        held: dict[int, list] = {}
+        for run, add, score, row in rows:
+            if run not in held:
+                held[run] = [np.array(add, float), score, row]
+                continue
+            held[run][0] += add
+            if score > held[run][1]:
+                held[run][1:] = score, row
+        columns = [list(held), *([v[i] for v in held.values()] for i in range(3))]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64())))], ["run", "total", "score", "row"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield merge(row for b, x in vectors_of(batches) for row in work(b, x))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda column, r: column[r].values.to_numpy()
+        yield merge((b.column(0)[r].as_py(), numbers(b.column(1), r), b.column(2)[r].as_py(), numbers(b.column(3), r)) for b in batches for r in range(b.num_rows))
+
+    schema = "run int, total array<double>, score double, row array<double>"
+    found = stored.select("b", "ids", "x", "wide").mapInArrow(part, schema).repartition(8, "run").mapInArrow(both, schema)
+    return {r["run"]: (np.array(r["total"]), np.array(r["row"])) for r in found.collect()}
+
+
+def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield batch.column(0)[r].as_py(), packed.unpack(*(batch.column(i)[r] for i in (1, 2, 3)))[1]
+
+
+class Box(NamedTuple):
+    """The box around all vectors along their principal axes."""
+
+    middle: np.ndarray
+    axes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def draw(self, ref: int, b: int, shape: tuple[int, int]) -> np.ndarray:
+        """A block's part of a reference, the same in each pass."""
+        return np.random.default_rng([ref, b]).uniform(self.low, self.high, shape) @ self.axes + self.middle
+
+
+def box_of(stored: DataFrame) -> Box:
+    none = np.zeros(0)
+    total = gathered(stored, lambda b, x: iter([(0, np.append(x.sum(axis=0), len(x)), 0.0, none)]))[0][0]
+    m, p = total[:-1] / total[-1], len(total) - 1
+    around = gathered(stored, lambda b, x: iter([(0, ((x - m).T @ (x - m)).ravel(), 0.0, none)]))[0][0]
+    axes = np.linalg.eigh(around.reshape(p, p))[1].T[::-1]
+
+    def ends(b: int, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, float, np.ndarray]]:
+        v = (x - m) @ axes.T
+        for i in range(p):
+            for run, side in ((i, v[:, i]), (p + i, -v[:, i])):
+                yield run, none, float(side.max()), side.max(keepdims=True)
+
+    most = gathered(stored, ends)
+    return Box(m, axes, np.array([-most[p + i][1][0] for i in range(p)]), np.array([most[i][1][0] for i in range(p)]))
+
+
+def nearest_centre(x: np.ndarray, c: np.ndarray, measured: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """The nearest centre of each row, by products around the centres' mean, and, if ``measured``, its squared distance, by differences."""
+    b = c - c.mean(axis=0)
+    lab = (np.square(b).sum(axis=1) / 2 - (x - c.mean(axis=0)) @ b.T).argmin(axis=1)
+    return lab, np.square(x - c[lab]).sum(axis=1) if measured else None
+
+
+def kmeans(stored: DataFrame, runs: list[tuple[int, int, int]], inits: int, rounds: int = 100, box: Box | None = None) -> list[tuple[np.ndarray, float]]:
+    """(centres, inertia) of the best of some k-means++ starts for each run (k, seed, ref), ref -1 for the vectors and else a reference in ``box``.
+
+    All starts of all runs take one pass over the packed blocks for each further centre and each round. A centre is drawn by the greatest of log squared distance plus Gumbel noise, which is
+    proportional to the squared distance; a label without members goes to the row that is farthest from its centre.
+    """
+    starts = [(*run, init) for run in runs for init in range(inits)]
+    centres: dict[int, np.ndarray] = {}
+
+    def over(active: list[int], one: Callable[[int, int, np.ndarray], tuple]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        def work(b: int, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, float, np.ndarray]]:
+            for ref in sorted({starts[i][2] for i in active}):
+                v = x if ref < 0 else box.draw(ref, b, x.shape)
+                for i in active:
+                    if starts[i][2] == ref:
+                        yield (i, *one(i, b, v))
+
+        return gathered(stored, work)
+
+    def drawn(i: int, b: int, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        k, seed, _, init = starts[i]
+        at = len(centres[i]) if i in centres else 0
+        noise = np.random.default_rng([seed, init, at, b]).gumbel(size=len(x))
+        if at:
+            with np.errstate(divide="ignore"):
+                noise += np.log(nearest_centre(x, centres[i])[1])
+        best = int(noise.argmax())
+        return np.zeros(0), float(noise[best]), x[best]
+
+    def moved(i: int, b: int, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        lab = nearest_centre(x, centres[i], False)[0]
+        one = np.eye(starts[i][0])[lab]
+        n, far, at = one.sum(axis=0), -np.inf, 0
+        if not n.all():  # a label that has no members has none in any block, so that all look for the farthest row
+            d = np.square(x - centres[i][lab]).sum(axis=1)
+            far, at = float(d.max()), int(d.argmax())
+        return np.append((one.T @ x).ravel(), n), far, x[at]
+
+    for at in range(max(k for k, *_ in starts)):
+        found = over([i for i, run in enumerate(starts) if run[0] > at], drawn)
+        centres = {i: np.vstack([centres[i], found[i][1]]) if i in centres else found[i][1][None] for i in range(len(starts)) if i in found} | {i: c for i, c in centres.items() if i not in found}
+    active = list(range(len(starts)))
+    for _ in range(rounds):
+        found, still = over(active, moved), []
+        for i in active:
+            k, (total, far) = starts[i][0], found[i]
+            n, s = total[-k:], total[:-k].reshape(k, -1)
+            new = np.array([s[j] / n[j] if n[j] else far for j in range(k)])
+            if np.abs(new - centres[i]).max() >= 1e-9:
+                still.append(i)
+                centres[i] = new
+        active = still
+        if not active:
+            break
+    measured = over(list(range(len(starts))), lambda i, b, x: (np.array([nearest_centre(x, centres[i])[1].sum()]), 0.0, np.zeros(0)))
+    score = {i: round(float(measured[i][0][0]), 6) for i in measured}
+    best = [min(range(r * inits, (r + 1) * inits), key=lambda i: (score[i], i)) for r in range(len(runs))]
+    return [(centres[i], score[i]) for i in best]
+
+
+def kmeans_runs(nodes: DataFrame, seeds: int, k: int, inits: int = 4) -> DataFrame:
+    """(seed, k, id, label, score): ``cluster.fits`` for one table and some seeds, by blocks."""
+    stored = packed.pack(nodes, blocks_for(nodes.count()))
+    found = kmeans(stored, [(k, seed, -1) for seed in range(seeds)], inits)
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, x = packed.unpack(*(batch.column(i)[r] for i in (1, 2, 3)))
+                for seed, (c, score) in enumerate(found):
+                    columns = np.full(len(ids), seed), np.full(len(ids), k), ids, nearest_centre(x, c)[0].astype(np.int64), np.full(len(ids), score)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["seed", "k", "id", "label", "score"])
+
+    return stored.select("b", "ids", "x", "wide").mapInArrow(labels, "seed long, k long, id long, label long, score double")
+
+
+def gap_curve(nodes: DataFrame, ks: list[int], refs: int, inits: int = 2) -> DataFrame:
+    """``cluster.gap_curve`` by blocks."""
+    stored = packed.pack(nodes, blocks_for(nodes.count()))
+    runs = [(k, 0, ref) for k in ks for ref in range(-1, refs)]
+    found = kmeans(stored, runs, inits, box=box_of(stored))
+    w = [(k, ref, float(np.log(max(inertia, 1e-12)))) for (k, _, ref), (_, inertia) in zip(runs, found)]
+    return cluster.gaps(nodes.sparkSession.createDataFrame(w, "k int, ref int, w double"), refs)

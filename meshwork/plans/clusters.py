@@ -154,16 +154,22 @@ def run_list(spark, seeds, k):
     return spark.range(seeds).select(F.col("id").alias("seed"), F.lit(k).alias("k"))
 
 
+def k_runs(spark, sf):
+    """Ten runs of six means, written: one in a task up to ``whole.LOCAL`` nodes, all by blocks beyond."""
+    n = fx.stored_nodes(spark, sf)
+    return materialize(whole.kmeans_runs(n, 10, 6) if n.count() > whole.LOCAL else cluster.fits(n, run_list(spark, 10, 6)))
+
+
 @query()
 def kmeans_best_of_seeds(spark, sf):
-    runs = materialize(cluster.fits(fx.stored_nodes(spark, sf), run_list(spark, 10, 6)))
+    runs = k_runs(spark, sf)
     return cluster.best_run(runs, ["k"]).select("k", "seed", "id", "label", "score")
 
 
 @query()
 def membership_confidence(spark, sf):
     """Agreement of runs with the best one after renaming labels by overlap."""
-    runs = materialize(cluster.fits(fx.stored_nodes(spark, sf), run_list(spark, 10, 6)))
+    runs = k_runs(spark, sf)
     best = cluster.best_run(runs, ["k"]).select("id", "label")
     return cluster.confidence(cluster.overlap_relabel(runs, best, 6), best)
 
@@ -200,7 +206,8 @@ def prediction_strength(spark, sf):
 
 @query()
 def gap_statistic(spark, sf):
-    return validity.gap_choice(cluster.gap_curve(fx.stored_nodes(spark, sf), [2, 3, 4, 5, 6], 8))
+    n = fx.stored_nodes(spark, sf)
+    return validity.gap_choice((whole if n.count() > whole.LOCAL else cluster).gap_curve(n, [2, 3, 4, 5, 6], 8))
 
 
 @query()
