@@ -21,6 +21,8 @@ from meshwork.session import materialize, release
 #: Nodes up to which one task does the work, and rows of a product.
 LOCAL = 4_096
 ROWS = 256
+#: Vectors up to which k-means has a run in one task: by blocks a round is a job, which takes longer on small tables.
+FITTED = 1 << 17
 #: Residual at which eigenvectors count as found, that down to which products are in single precision, and passes at most.
 TOLERANCE, SINGLE, PASSES = 1e-8, 1e-5, 300
 

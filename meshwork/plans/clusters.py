@@ -155,9 +155,9 @@ def run_list(spark, seeds, k):
 
 
 def k_runs(spark, sf):
-    """Ten runs of six means, written: one in a task up to ``whole.LOCAL`` nodes, all by blocks beyond."""
+    """Ten runs of six means, written: one in a task up to ``whole.FITTED`` nodes, all by blocks beyond."""
     n = fx.stored_nodes(spark, sf)
-    return materialize(whole.kmeans_runs(n, 10, 6) if n.count() > whole.LOCAL else cluster.fits(n, run_list(spark, 10, 6)))
+    return materialize(whole.kmeans_runs(n, 10, 6) if n.count() > whole.FITTED else cluster.fits(n, run_list(spark, 10, 6)))
 
 
 @query()
@@ -207,7 +207,7 @@ def prediction_strength(spark, sf):
 @query()
 def gap_statistic(spark, sf):
     n = fx.stored_nodes(spark, sf)
-    return validity.gap_choice((whole if n.count() > whole.LOCAL else cluster).gap_curve(n, [2, 3, 4, 5, 6], 8))
+    return validity.gap_choice((whole if n.count() > whole.FITTED else cluster).gap_curve(n, [2, 3, 4, 5, 6], 8))
 
 
 @query()
