@@ -33,11 +33,13 @@ def with_ranks(df: DataFrame, x: str, name: str = "rank", by: list[str] | None =
     v = v.join(F.broadcast(v.agg(F.percentile_approx(x, steps).alias("_s")))).withColumn("_p", below("_s")).drop("_s")
     inner = v.groupBy("_p").agg(F.percentile_approx(x, steps).alias("_s"))  # a row for each range of the first level
     v = v.join(F.broadcast(inner), "_p").withColumn("_q", F.col("_p") * (ranges + 1) + below("_s")).drop("_s", "_p")
-    ends = v.groupBy(*by, "_q").agg(F.sum("_t").alias("_t"))
-    ends = ends.groupBy(*by).agg(F.collect_list(F.struct("_q", "_t")).alias("_e"), F.sum("_t").alias(f"{name}_n"))
-    add = lambda e: F.aggregate(e, F.lit(0).cast("long"), lambda s, r: s + r["_t"])
-    offset = ends.select(*by, f"{name}_n", F.explode(F.transform("_e", lambda a: F.struct(a["_q"].alias("_q"), add(F.filter("_e", lambda b: b["_q"] < a["_q"])).alias("_o")))).alias("_r"))
-    offset = offset.select(*by, f"{name}_n", "_r._q", "_r._o")
+    # counts of lower ranges, for the first level and within one of its ranges: lists of ``ranges`` + 1 at most, not of their square
+    ends = v.groupBy(*by, "_q").agg(F.sum("_t").alias("_t")).groupBy(*by, F.floor(F.col("_q") / (ranges + 1)).alias("_p")).agg(F.collect_list(F.struct("_q", "_t")).alias("_e"), F.sum("_t").alias("_t"))
+    ends = ends.groupBy(*by).agg(F.collect_list(F.struct("_p", "_t", "_e")).alias("_f"), F.sum("_t").alias(f"{name}_n"))
+    lower = lambda e, c, a: F.aggregate(F.filter(e, lambda b: b[c] < a[c]), F.lit(0).cast("long"), lambda s, r: s + r["_t"])
+    offset = ends.select(*by, f"{name}_n", F.explode(F.transform("_f", lambda a: F.struct(a["_e"].alias("_e"), lower(F.col("_f"), "_p", a).alias("_o")))).alias("_r")).select(*by, f"{name}_n", "_r._e", "_r._o")
+    offset = offset.select(*by, f"{name}_n", "_o", F.explode(F.transform("_e", lambda a: F.struct(a["_q"].alias("_q"), lower(F.col("_e"), "_q", a).alias("_i")))).alias("_r"))
+    offset = offset.select(*by, f"{name}_n", "_r._q", (F.col("_o") + F.col("_r._i")).alias("_o"))
     here = Window.partitionBy(*by, "_q").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = v.withColumn("_h", F.sum("_t").over(here)).join(offset, [*by, "_q"])
     ranks = placed.select(*by, x, (F.col("_o") + F.col("_h") - (F.col("_t") - 1) / 2.0).alias(name), f"{name}_n")

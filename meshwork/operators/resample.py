@@ -3,8 +3,9 @@
 Rows are dealt once into blocks that fit a task, and a block works out its part of all draws.
 
 * A permutation of labels within a stratum is drawn in two steps. How many rows of each group a block gets is drawn from the multivariate hypergeometric
-  distribution, block after block, for a batch of permutations at a time; then each block shuffles its own ranks under these
-  counts. This is exactly a uniform permutation, and what meets is rank sums by (permutation, group).
+  distribution, block after block, for a batch of permutations at a time; then each block deals its own ranks under these
+  counts. This is exactly a uniform permutation, and what meets is rank sums by (permutation, group). A block holds distinct ranks and how many rows have them:
+  for a rank with many rows only how many go to each group is drawn.
 * A bootstrap weighs rows by Poisson(1) numbers that follow from the row's id and the draw alone. Blocks are ranges of values; the
   blocks' weights tell in which block each draw's median lies, and only that block looks for it.
 """
@@ -27,6 +28,9 @@ from meshwork.session import materialize, small_side
 #: Rows of a block, and permutations that are drawn at a time.
 BLOCK = 1 << 16
 BATCH = 250
+#: Rows of one rank from which on their groups are counted instead of dealt row by row, and rows from which on they are dealt by random bytes.
+MANY = 64
+BYTES = 2_048
 #: Ranges of values, and parts of a range that holds one frequent value alone.
 RANGES = 64
 SALTS = 16
@@ -74,12 +78,13 @@ class Ranked:
     def null(self, n: int = 5000, seed: int = 0, block: int = BLOCK) -> DataFrame:
         """(by, perm, h, n, k, eta2) of ``n`` permutations of the labels within each stratum."""
         strata = [F.col(c) for c in self.strata]
-        size = self.rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+        each = self.rows.groupBy(*strata, "rank").agg(F.count(F.lit(1)).alias("_times"))
+        size = each.groupBy(*strata).agg(F.sum(F.least("_times", F.lit(MANY))).alias("_n"))
         parts = F.ceil(F.col("_n") / block).cast("int")
-        dealt = self.rows.join(small_side(size), self.strata) if strata else self.rows.join(F.broadcast(size))
-        dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("_id"), parts).cast("int"))
-        blocks = materialize(dealt.groupBy(*strata, "_b").agg(F.sort_array(F.collect_list("rank")).alias("ranks")))
-        shares = blocks.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct("_b", F.size("ranks").alias("m")))).alias("blocks"))
+        dealt = each.join(small_side(size), self.strata) if strata else each.join(F.broadcast(size))
+        dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("rank"), parts).cast("int"))
+        blocks = materialize(dealt.groupBy(*strata, "_b").agg(F.sort_array(F.collect_list(F.struct("rank", "_times"))).alias("ranks"), F.sum("_times").alias("_m")))
+        shares = blocks.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct("_b", "_m"))).alias("blocks"))
         groups = self.rows.groupBy(*strata, "g").agg(F.count(F.lit(1)).alias("c")).groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct("g", "c"))).alias("groups"))
         plan = shares.join(groups, self.strata) if strata else shares.join(F.broadcast(groups))
         batches = F.explode(F.sequence(F.lit(0), F.lit(-(-n // BATCH) - 1))).alias("batch")
@@ -88,7 +93,10 @@ class Ranked:
         kinds = dict(self.rows.dtypes)
         own = ", ".join(f"`{c}` {kinds[c]}" for c in self.strata)
         counts = plan.mapInPandas(_block_counts(self.strata, n), ", ".join([*([own] if own else []), "name string", "_b int", "batch int", f"groups array<{kinds['g']}>", "counts array<int>"]))
-        met = counts.join(blocks, [*self.strata, "_b"])
+        # a block is little data and much work, so small partitions must not be put together
+        key, tasks = [*self.strata, "_b"], min(1024, 2 * blocks.count())
+        there = blocks.select(*strata, "_b", F.col("ranks.rank").alias("ranks"), F.col("ranks._times").alias("_times"))
+        met = counts.repartition(tasks, *key).hint("merge").join(there.repartition(tasks, *key), key)
         out = ", ".join([*(f"`{c}` {kinds[c]}" for c in self.by), "perm int", f"g {kinds['g']}", "s double"])
         sums = met.mapInPandas(_block_sums(self.by), out).groupBy(*self.by, "perm", "g").agg(F.sum("s").alias("s"))
         return eta(sums, self.sizes, self.ties, self.by, [*self.by, "perm"])
@@ -98,6 +106,68 @@ def _rng(name: str, *numbers: int) -> np.random.Generator:
     return np.random.default_rng([zlib.crc32(name.encode()), *numbers])
 
 
+def _sums(rng: np.random.Generator, ranks: np.ndarray, times: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rank sums by group, a row for each permutation, when as many rows as ``counts`` says get each group."""
+    left, sums = counts.copy(), np.zeros(counts.shape)
+    for rank, n in zip(ranks[times >= MANY], times[times >= MANY]):
+        taken = _drawn(rng, left, n)
+        left -= taken
+        sums += rank * taken
+    rows = np.repeat(ranks[times < MANY], times[times < MANY])
+    if len(rows) >= BYTES:
+        share = np.diff(np.rint(np.append(0, np.cumsum(left[0])) * (256 / len(rows))).astype(int))
+        of = np.repeat(np.arange(counts.shape[1]), share)
+        return sums + np.stack([_dealt_sums(rng, rows, of, c) for c in left])
+    if len(rows):
+        step = max(1, (1 << 22) // len(rows))
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            run = np.cumsum(rng.permuted(np.broadcast_to(rows, (len(part), len(rows))), axis=1), axis=1)
+            upto = np.take_along_axis(np.concatenate([np.zeros((len(part), 1)), run], axis=1), np.cumsum(part, axis=1), axis=1)
+            sums[at : at + step] += np.diff(upto, axis=1, prepend=0.0)
+    return sums
+
+
+def _drawn(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` rows get each group, a row for each permutation, if ``left`` are still to be given out."""
+    want, rest, taken = np.full(len(left), n, np.int64), left.sum(axis=1), np.zeros_like(left)
+    for k in range(left.shape[1]):
+        rest = rest - left[:, k]
+        taken[:, k] = rng.hypergeometric(left[:, k], rest, want)
+        want = want - taken[:, k]
+    return taken
+
+
+def _dealt_sums(rng: np.random.Generator, rows: np.ndarray, of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rank sums by group of one uniform permutation: a random byte gives each row a group (``of`` the byte), then random rows of groups with too many go to random places of the others.
+
+    No step depends on where a row lies, so all arrangements with these counts are equally likely.
+    """
+    b = rng.bit_generator.random_raw(-(-len(rows) // 8)).view(np.uint8)[: len(rows)]
+    to = b.astype(np.intp)
+    k = len(counts)
+    sums = np.bincount(of, np.bincount(to, rows, 256), k)
+    over = np.bincount(of, np.bincount(to, minlength=256), k).astype(np.int64) - counts
+    many = np.flatnonzero(over > 0)
+    if not len(many):
+        return sums
+    tries = int(1.3 * (over[many] * len(rows) / (counts + over)[many]).max()) + 64
+    for tries in (tries, len(rows)):
+        if tries * 2 >= len(rows):
+            at = rng.permutation(len(rows))
+        else:
+            at = rng.integers(0, len(rows), tries)
+            at = at[np.sort(np.unique(at, return_index=True)[1])]
+        own = of[b[at]]
+        moved = [at[own == g][: over[g]] for g in many]
+        if all(len(m) == over[g] for m, g in zip(moved, many)):
+            break
+    for m, g in zip(moved, many):
+        sums[g] -= rows[m].sum()
+    few = np.flatnonzero(over < 0)
+    return sums + np.bincount(np.repeat(few, -over[few]), rows[rng.permutation(np.concatenate(moved))], k)
+
+
 def _block_counts(strata: list[str], n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -106,11 +176,7 @@ def _block_counts(strata: list[str], n: int):
                 left = np.tile(np.array([g["c"] for g in r["groups"]], np.int64), (perms, 1))
                 rng, rows = _rng(r["name"], r["batch"]), []
                 for b in r["blocks"]:
-                    want, rest, taken = np.full(perms, b["m"], np.int64), left.sum(axis=1), np.zeros_like(left)
-                    for k in range(left.shape[1]):
-                        rest = rest - left[:, k]
-                        taken[:, k] = rng.hypergeometric(left[:, k], rest, want)
-                        want = want - taken[:, k]
+                    taken = _drawn(rng, left, b["_m"])
                     left -= taken
                     rows.append({**{c: r[c] for c in strata}, "name": r["name"], "_b": b["_b"], "batch": r["batch"], "groups": [g["g"] for g in r["groups"]], "counts": taken.ravel().tolist()})
                 yield pd.DataFrame(rows)
@@ -122,16 +188,9 @@ def _block_sums(by: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.to_dict("records"):
-                ranks, k = np.asarray(r["ranks"], float), len(r["groups"])
-                counts = np.asarray(r["counts"], np.int64).reshape(-1, k)
-                rng = _rng(r["name"], r["batch"], r["_b"] + 1)
-                sums = np.empty(counts.shape)
-                step = max(1, (1 << 22) // len(ranks))
-                for at in range(0, len(counts), step):
-                    part = counts[at : at + step]
-                    run_ = np.cumsum(rng.permuted(np.broadcast_to(ranks, (len(part), len(ranks))), axis=1), axis=1)
-                    upto = np.take_along_axis(np.concatenate([np.zeros((len(part), 1)), run_], axis=1), np.cumsum(part, axis=1), axis=1)
-                    sums[at : at + step] = np.diff(upto, axis=1, prepend=0.0)
+                counts = np.asarray(r["counts"], np.int64).reshape(-1, len(r["groups"]))
+                sums = _sums(_rng(r["name"], r["batch"], r["_b"] + 1), np.asarray(r["ranks"], float), np.asarray(r["_times"], np.int64), counts)
+                k = counts.shape[1]
                 perm = r["batch"] * BATCH + np.arange(len(counts))
                 yield pd.DataFrame({**{c: [r[c]] * counts.size for c in by}, "perm": np.repeat(perm, k).astype(np.int32), "g": list(r["groups"]) * len(counts), "s": sums.ravel()})
 
